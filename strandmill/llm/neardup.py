@@ -62,7 +62,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """``node, shingles`` of the classes in ``wanted`` (node, min_key, digest), from a document of each."""
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    joined = source.join(wanted.select("node", F.col("min_key").alias("key"), "digest"), "key").select("node", "digest", "text")
+    joined = source.join(wanted.select("node", F.col("min_key").alias("__key"), "digest"), source["key"].eqNullSafe(F.col("__key"))).select("node", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,20 +96,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the union's sketch lets through and whose full sets are similar."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and whose union's sketch allow the similarity, with their sizes."""
     sa = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     sb = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     sized = pairs.join(sa, "a").join(sb, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, K)
     seen = sized.select("a", "b", "na", "nb", F.size(F.array_intersect(F.array_intersect("ka", "kb"), union)).alias("common"), F.size(union).alias("of"))
     # Of a whole union the estimate is exact; of K values, TAU must be common.
-    likely = seen.where(f"case when of < {K} then 100 * common >= {percent} * of else common >= {TAU} end").select("a", "b", "na", "nb")
+    return seen.where(f"case when of < {K} then 100 * common >= {percent} * of else common >= {TAU} end").select("a", "b", "na", "nb")
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
     fa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("fa"))
     fb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("fb"))
-    full = likely.join(fb, "b").join(fa, "a")
     common = F.size(F.array_intersect("fa", "fb"))
-    return full.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return likely.join(fb, "b").join(fa, "a").where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -141,9 +144,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     lists = checkpoint(entries.groupBy("value").agg(F.max(F.struct("central", "node")).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1").select("value", F.col("top.node").alias("leader"), "size"))
     listed = checkpoint(entries.join(lists, "value").select("value", "node", "leader", "size"))
     stars = listed.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    nodes = listed.select("node").distinct()
-    sets = checkpoint(_full_sets(docs, classes.where("min_key is not null").join(nodes, "node", "left_semi").select("node", "min_key", "digest"), key, text, words).dropDuplicates(["node"]))
-    links = checkpoint(_confirmed(stars, classes, sets, percent))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Read again from the texts, so that only the sets that are needed are kept."""
+        return _full_sets(docs, classes.join(nodes.distinct(), "node", "left_semi"), key, text, words)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+    likely = checkpoint(_likely(stars, classes, percent))
+    links = checkpoint(_confirmed(likely, checkpoint(sets_of(ends(likely))), percent))
     labels = components(links)
 
     def labelled(frame: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
@@ -159,9 +169,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     pairs = short.join(other, "value").where("node < b and comp <> cb").select(F.col("node").alias("a"), "b")
     long_ = checkpoint(left.where(f"size > {SHORT}").select("leader", "node", "comp").distinct())
     if not long_.isEmpty():
-        pairs = pairs.unionByName(_possible(long_, sets, classes, percent))
-    done = stars.select("a", "b")
-    late = checkpoint(_confirmed(pairs.distinct().join(done, ["a", "b"], "left_anti"), classes, sets, percent))
+        pairs = pairs.unionByName(_possible(long_, checkpoint(sets_of(long_.select("node"))), classes, percent))
+    likely = checkpoint(_likely(pairs.distinct().join(stars, ["a", "b"], "left_anti"), classes, percent))
+    late = likely if likely.isEmpty() else checkpoint(_confirmed(likely, checkpoint(sets_of(ends(likely))), percent))
     if not late.isEmpty():
         labels = components(links.union(late))
 
@@ -196,3 +206,23 @@ def _possible(group: DataFrame, sets: DataFrame, classes: DataFrame, percent: in
     member = sized.select("leader", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"), band(F.col("n")).alias("band"))
     met = reach.join(member, ["leader", "band"]).where(f"cx <> cy and nx + ny <= {ratio} * least(sx, sy) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, less those that stand for a group with another row.
+
+    Of each component the rows with the least key stay; if keys repeat, or are
+    null, one row of each key and text does. A text without words stays.
+    """
+    found = near_duplicates(docs, key, text, words, percent)
+    dropped = checkpoint(found.where("not kept").select(F.col(key).alias("__gone")))
+    gone = dropped.where("__gone is not null").distinct()
+    out = docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")
+    odd = docs.select(F.col(key).cast("long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null").select("k")
+    odd = checkpoint(odd)
+    if odd.isEmpty():
+        return out
+    mark = F.broadcast(odd) if odd.count() <= 10_000 else odd
+    joined = out.join(mark.select(F.col("k").alias("__odd")), out[key].cast("long").eqNullSafe(F.col("__odd")), "left_semi")
+    plain = out.join(mark.select(F.col("k").alias("__odd")), out[key].cast("long").eqNullSafe(F.col("__odd")), "left_anti")
+    return plain.unionByName(joined.dropDuplicates([key, text]))

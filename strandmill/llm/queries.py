@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, neardup, packing, pii, quality, sharding, toxicity, urls
+from . import decontaminate, media, neardup, packing, pii, quality, secretscan, sharding, toxicity, urls
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.referral_list(pages)).select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"), secretscan.train(secretscan.sample_findings(spark)))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -53,8 +57,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_sharding, op3_pii, op4_quality, op5_packing, op6_urls, op8_near_duplicates, op9_toxicity)
+    f.__name__: f for f in (op1_media, op2_sharding, op3_pii, op4_quality, op5_packing, op6_urls, op7_secrets, op8_near_duplicates, op9_toxicity, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {}
