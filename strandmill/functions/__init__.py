@@ -1 +1 @@
-"""FASTQ analytics on Spark DataFrames."""
+"""Scalar functions over reads: Column builders, and vectorised ones where SQL has none."""

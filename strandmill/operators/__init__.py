@@ -1 +1 @@
-"""FASTQ analytics on Spark DataFrames."""
+"""DataFrame to DataFrame operators on reads."""

@@ -1 +1 @@
-"""FASTQ analytics on Spark DataFrames."""
+"""Readers and writers of reads."""

@@ -1 +1 @@
-"""FASTQ analytics on Spark DataFrames."""
+"""Structured Streaming over folders of FASTQ files and over tables of reads."""
