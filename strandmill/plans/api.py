@@ -36,7 +36,6 @@ def report_excess(spark: SparkSession, paths: str | list[str]) -> list[int]:
 
 def write_routed(routed: DataFrame, config: RunConfig | None = None) -> None:
     """Write routed rows to files, pipes and memory keys by the suffix of their output."""
-    routed = routed.withColumn("output", F.col("output"))
     is_mem, is_pipe = F.endswith("output", F.lit(".mem")), F.endswith("output", F.lit(".fifo"))
     kinds = {r[0] for r in routed.select(F.when(is_mem, "mem").when(is_pipe, "fifo").otherwise("file")).distinct().collect()}
     if len(kinds) > 1:
@@ -55,10 +54,19 @@ def write_routed(routed: DataFrame, config: RunConfig | None = None) -> None:
 
 
 def _to_memory(key: str, rows: DataFrame) -> None:
-    """Store rows under consecutive indices."""
-    pairs = rows.orderBy("read_index", "ord").rdd.map(tuple).zipWithIndex().map(lambda x: (x[1], x[0][3], x[0][4], x[0][5]))
-    flat = rows.sparkSession.createDataFrame(pairs, "read_index long, name string, seq string, qual string")
-    memory.put(key, flat.select("read_index", F.struct("name", "seq", "qual").alias("read1")))
+    """Store rows under consecutive indices: a row's place in its sorted partition after the rows of the partitions before."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(n, "read_index", "ord").sortWithinPartitions("read_index", "ord").withColumn("__id", F.monotonically_increasing_id()).persist()
+    try:
+        part, start, starts = F.shiftright("__id", 33), 0, []
+        for r in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # a row a partition
+            starts += [F.lit(r["p"]), F.lit(start)]
+            start += r["n"]
+        index = F.element_at(F.create_map(*starts), part) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) if starts else F.lit(0).cast("long")
+        memory.put(key, ordered.select(index.cast("long").alias("read_index"), F.struct("name", "seq", "qual").alias("read1")))
+    finally:
+        ordered.unpersist()
 
 
 def write(df: DataFrame, outputs: str | list[str], config: RunConfig | None = None) -> None:
