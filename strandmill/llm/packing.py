@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,19 @@ from .common import checkpoint, gapless_rank
 CAPACITY = 4096
 END_ID = 1
 #: Words that a Python worker keeps ids of, in each of two generations.
-_CACHE = 400_000
+_CACHE = 800_000
 _encoders: dict[str, WordCache] = {}
 
 
+#: The signs that stand for bytes 0x80 to 0xA0 and 0xAD in a byte-level vocabulary; higher bytes stand for themselves.
+_BYTE_SIGNS = {b: 256 + 33 + i for i, b in enumerate([0x7F, *range(0x80, 0xA1), 0xAD])}
+
+
+def _latin(word: str) -> bool:
+    """Whether a word is in Latin-1, whose letters have one form and one small letter."""
+    return word.isascii() or max(word) <= "\xff"
+
+
 class WordCache:
     """Ids of whole texts from the ids of their words, which the tokenizer treats one by one.
 
@@ -45,52 +55,46 @@ class WordCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        young, old = self.young, self.old
+    def _learn(self, missing: set[str]) -> None:
+        young, old, model, other = self.young, self.old, self.tokenizer.model.tokenize, []
         ends = {c: young.get(c) or self._encode([c])[0] for c in ".,"}
-        plain: dict[str, list[tuple[str, bytes]]] = {}
-        for w in words:
-            if w in young:
-                continue
+        for w in missing:
             known = old.get(w)
-            if known is not None:
-                young[w] = known
-                continue
-            # A single point or comma after a letter is a token of its own, and case doesn't count.
-            stem, end = (w[:-1], ends[w[-1]]) if w[-1] in ends and w[-2:-1].isalpha() else (w, b"")
-            if stem.isascii() and stem.isalpha():
+            if known is None:
+                # A single point or comma after a letter is a token of its own, and case doesn't count.
+                stem, end = (w[:-1], ends[w[-1]]) if w[-1] in ends and w[-2:-1].isalpha() else (w, b"")
+                if not (stem.isalpha() and _latin(stem)):
+                    other.append(w)
+                    continue
                 stem = stem.lower()
-            known = young.get(stem) or old.get(stem)
-            if known is not None:
-                young[w] = known + end
-            else:
-                plain.setdefault(stem, []).append((w, end))
-        missing = list(plain)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for stem, ids in zip(part, self._encode(part), strict=True):
-                young[stem] = ids
-                for w, end in plain[stem]:
-                    young[w] = ids + end
+                known = young.get(stem) or old.get(stem)
+                if known is None:
+                    # A word of small letters is one pretoken already: straight to the model.
+                    letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                    known = young[stem] = array("I", [t.id for t in model(letters)]).tobytes()
+                if end:
+                    known += end
+            young[w] = known
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            young.update(zip(part, self._encode(part), strict=True))
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, texts: list[str]) -> None:
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers. New words of all texts are learnt at once."""
+        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]  # blank to Python, not to the tokenizer
+        words = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
         if len(self.young) > _CACHE:
             self.old, self.young = self.young, {}
-        self._learn(set().union(*(t.split() for t in texts)))
+        if missing := set().union(*words).difference(self.young):
+            self._learn(missing)
+        get = self.young.__getitem__
+        return [self._encode([t])[0] if o else b"".join(map(get, w)) for t, w, o in zip(texts, words, odd, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian 32-bit numbers."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blank to Python, not to the tokenizer
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self.learn([text])
-            return b"".join(map(self.young.__getitem__, words))
+        return self.many([text])[0]
 
 
 def encoder(path: str) -> WordCache:
@@ -113,10 +117,10 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             keys, piece, start, length, crc = [], [], [], [], []
-            for row, (k, cell) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                if row % 64 == 0:  # many words at once, far cheaper than a few
-                    cache.learn([c.as_py() or "" for c in batch.column(1)[row : row + 64]])
-                ids = cache.ids(cell.as_py() or "") + end
+            all_keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            found = (x for at in range(0, len(texts), 64) for x in cache.many([t or "" for t in texts[at : at + 64].to_pylist()]))
+            for k, ids in zip(all_keys, found, strict=True):
+                ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     keys.append(k)
