@@ -14,9 +14,10 @@
    of the union estimates each pair, and the full sets confirm it. Links form
    components.
 5. What a star can't settle, pairs of different components within a list, comes
-   next: all such pairs of short lists; and of long lists those that can be
-   similar at all, by a bound from sizes and from how many of a member's shingles
-   any other member has. None is dropped without that proof.
+   next: all such pairs of short lists; and in long lists the members outside the
+   leader's component, as a query set against the list, in blocks, less those
+   that have too few shingles in common with all others. None is dropped without
+   that proof.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ K = 48
 TAU = 24
 #: Lists of up to so many classes may pair their members directly.
 SHORT = 16
-_BAND = 1.05
+#: Members of a block, on average, where long lists are compared in blocks; and so many thousands of shingles.
+BLOCK = 400
+#: Keys of documents that are broadcast at most; more are joined by a shuffle.
+KEYS = 400_000
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -62,7 +66,10 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """``node, shingles`` of the classes in ``wanted`` (node, min_key, digest), from a document of each."""
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    joined = source.join(wanted.select("node", F.col("min_key").alias("__key"), "digest"), source["key"].eqNullSafe(F.col("__key"))).select("node", "digest", "text")
+    wanted = checkpoint(wanted.select("node", F.col("min_key").alias("__key"), "digest"))
+    # Up to the bound, some 20 MB go to the executors and no text is shuffled.
+    side = F.broadcast(wanted) if wanted.count() <= KEYS else wanted
+    joined = source.join(side, source["key"].eqNullSafe(F.col("__key"))).select("node", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,10 +175,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     other = short.select("value", F.col("node").alias("b"), F.col("comp").alias("cb"))
     pairs = short.join(other, "value").where("node < b and comp <> cb").select(F.col("node").alias("a"), "b")
     long_ = checkpoint(left.where(f"size > {SHORT}").select("leader", "node", "comp").distinct())
-    if not long_.isEmpty():
-        pairs = pairs.unionByName(_possible(long_, checkpoint(sets_of(long_.select("node"))), classes, percent))
+    in_groups = None if long_.isEmpty() else checkpoint(_in_groups(long_, checkpoint(sets_of(long_.select("node"))), percent))
     likely = checkpoint(_likely(pairs.distinct().join(stars, ["a", "b"], "left_anti"), classes, percent))
-    late = likely if likely.isEmpty() else checkpoint(_confirmed(likely, checkpoint(sets_of(ends(likely))), percent))
+    late = likely.select("a", "b") if likely.isEmpty() else checkpoint(_confirmed(likely, checkpoint(sets_of(ends(likely))), percent))
+    late = late if in_groups is None else late.unionByName(in_groups)
     if not late.isEmpty():
         labels = components(links.union(late))
 
@@ -184,28 +191,68 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return both.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _possible(group: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within each leader's group that can be similar.
-
-    A member's ``s`` is how many of its shingles any other member has. Similar
-    sets of sizes x and y have x + y <= (1 + 100 / percent) * min(s of both), and
-    sizes within the threshold of each other. Members outside the group's largest
-    component are joined, by bands of size, with members of other components.
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``xs`` has in common with each of ``ys``, by products of 0/1 matrices."""
+    nx, ny = [len(x) for x in xs], [len(y) for y in ys]
+    _, at = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    ax, ay = at[: sum(nx)], at[sum(nx) :]
+    rx, ry = np.repeat(np.arange(len(xs)), nx), np.repeat(np.arange(len(ys)), ny)
+    size = int(at.max()) + 1
+    place = np.full(size, -1)
+    both = np.flatnonzero((np.bincount(ax, minlength=size) > 0) & (np.bincount(ay, minlength=size) > 0))
+    place[both] = np.arange(len(both))
+    px, py = place[ax], place[ay]
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for low in range(0, len(both), 4096):
+        width = min(4096, len(both) - low)
+        x, y = np.zeros((len(xs), width), np.float32), np.zeros((len(ys), width), np.float32)
+        ix, iy = (px >= low) & (px < low + width), (py >= low) & (py < low + width)
+        x[rx[ix], px[ix] - low] = 1
+        y[ry[iy], py[iy] - low] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _in_groups(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within each leader's group.
+
+    A member of which too few shingles occur with any other member can't be
+    similar to one and drops out; so do groups of one component then. What is
+    left outside the leader's component, near copies with unusually many edits,
+    is the query set: its blocks meet the blocks of the group. A block has a
+    bounded number of members and of shingles, and only links leave a task.
     """
-    exploded = group.select("leader", "node").join(sets, "node").select("leader", "node", F.explode("shingles").alias("value"))
+    mine = group.join(sets, "node")
+    exploded = mine.select("leader", "node", F.explode("shingles").alias("value"))
     shared = exploded.groupBy("leader", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("leader", "value")
     s = exploded.join(shared, ["leader", "value"]).groupBy("leader", "node").agg(F.count(F.lit(1)).alias("s"))
-    ratio = 1 + 100 / percent
-    sized = checkpoint(group.join(s, ["leader", "node"]).join(classes.select("node", "n"), "node").where(f"100 * s >= {percent} * n"))
-    main = sized.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("leader").agg(F.max(F.struct("m", "comp")).alias("top")).select("leader", F.col("top.comp").alias("main"))
-    band = lambda x: F.floor(F.log(x) / float(np.log(_BAND))).cast("int")
-    minor = sized.join(main, "leader").where("comp <> main")
-    upto = F.least(F.col("n") * 100 / percent, F.col("s") * ratio - F.col("n"))
-    reach = minor.withColumn("__low", F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100))).withColumn("__high", upto).where("__high >= __low")
-    reach = reach.select("leader", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.explode(F.sequence(band(F.col("__low")), band(F.col("__high")))).alias("band"))
-    member = sized.select("leader", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"), band(F.col("n")).alias("band"))
-    met = reach.join(member, ["leader", "band"]).where(f"cx <> cy and nx + ny <= {ratio} * least(sx, sy) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    main = group.where("node = leader").select("leader", F.col("comp").alias("main"))
+    left = checkpoint(mine.select("leader", "node", "comp", F.size("shingles").alias("n")).join(s, ["leader", "node"]).where(f"100 * s >= {percent} * n").join(main, "leader").withColumn("minor", F.col("comp") != F.col("main")).drop("s", "main"))
+    size = left.groupBy("leader").agg(F.max("minor").alias("open"), F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / (BLOCK * 1000)).alias("load")).where("open").select("leader", F.ceil("load").cast("int").alias("blocks"))
+    dealt = left.join(size, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    filled = checkpoint(dealt.join(sets, "node").groupBy("leader", "block", "minor").agg(F.collect_list("node").alias("nodes"), F.collect_list("comp").alias("comps"), F.collect_list("shingles").alias("sets")))
+    x = filled.where("minor").select("leader", *(F.col(c).alias(f"x{c}") for c in ("nodes", "comps", "sets")))
+    pairs = x.join(filled.select("leader", "nodes", "comps", "sets"), "leader").drop("leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                xn, xc, xsets, yn, yc, ysets = (batch.column(c)[i].values for c in range(6))
+                xs, ys = ([v.values.to_numpy() for v in side] for side in (xsets, ysets))
+                common = _common(xs, ys)
+                union = np.array([len(v) for v in xs])[:, None] + np.array([len(v) for v in ys])[None] - common
+                near = (100 * common >= percent * union) & (xc.to_numpy()[:, None] != yc.to_numpy()[None])
+                xn, yn = xn.to_numpy(), yn.to_numpy()
+                # One link of a member to each component is enough.
+                a, b = np.nonzero(near)
+                _, one = np.unique(np.stack((a, np.unique(yc.to_numpy(), return_inverse=True)[1][b])), axis=1, return_index=True)
+                near = zip(a[one], b[one], strict=True)
+                links += [(min(p), max(p)) for p in ((int(xn[a]), int(yn[b])) for a, b in near)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    few = pairs.repartition(max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return few.mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
