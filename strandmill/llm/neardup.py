@@ -178,11 +178,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     in_groups = None if long_.isEmpty() else checkpoint(_in_groups(long_, checkpoint(sets_of(long_.select("node"))), percent))
     likely = checkpoint(_likely(pairs.distinct().join(stars, ["a", "b"], "left_anti"), classes, percent))
     late = likely.select("a", "b") if likely.isEmpty() else checkpoint(_confirmed(likely, checkpoint(sets_of(ends(likely))), percent))
-    late = late if in_groups is None else late.unionByName(in_groups)
-    if not late.isEmpty():
-        labels = components(links.union(late))
+    # Components that late links join become one; only they are looked at again.
+    joined = labelled(labelled(late, "a", "a"), "b", "b").select("a", "b")
+    joined = joined if in_groups is None else joined.unionByName(in_groups)
+    tops = components(joined).select(F.col("node").alias("__comp"), F.col("comp").alias("__top"))
 
-    named = checkpoint(labelled(classes.select("node", "min_key", "digest")))
+    named = labelled(classes.select("node", "min_key", "digest"))
+    named = checkpoint(named.join(tops, named["comp"] == tops["__comp"], "left").select("node", "min_key", "digest", F.coalesce("__top", "comp").alias("comp")))
     least = named.groupBy("comp").agg(F.min("min_key").alias("component_id"))
     of_class = named.join(least, "comp").select("digest", "component_id")
     found = rows.where("digest is not null").join(of_class, "digest").select("key", "n", "component_id")
@@ -213,14 +215,33 @@ def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the pairs as connect what all of them connect."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    out = []
+    for x, y in np.unique(np.stack((a, b), 1), axis=0).tolist():
+        rx, ry = find(x), find(y)
+        if rx != ry:
+            top[rx] = ry
+            out.append((x, y))
+    return out
+
+
 def _in_groups(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components within each leader's group.
+    """Pairs of components (a, b) that links join within each leader's group.
 
     A member of which too few shingles occur with any other member can't be
     similar to one and drops out; so do groups of one component then. What is
     left outside the leader's component, near copies with unusually many edits,
     is the query set: its blocks meet the blocks of the group. A block has a
-    bounded number of members and of shingles, and only links leave a task.
+    bounded number of members and of shingles, and no more pairs leave a task than
+    its components need to be joined.
     """
     mine = group.join(sets, "node")
     exploded = mine.select("leader", "node", F.explode("shingles").alias("value"))
@@ -230,25 +251,21 @@ def _in_groups(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = checkpoint(mine.select("leader", "node", "comp", F.size("shingles").alias("n")).join(s, ["leader", "node"]).where(f"100 * s >= {percent} * n").join(main, "leader").withColumn("minor", F.col("comp") != F.col("main")).drop("s", "main"))
     size = left.groupBy("leader").agg(F.max("minor").alias("open"), F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / (BLOCK * 1000)).alias("load")).where("open").select("leader", F.ceil("load").cast("int").alias("blocks"))
     dealt = left.join(size, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    filled = checkpoint(dealt.join(sets, "node").groupBy("leader", "block", "minor").agg(F.collect_list("node").alias("nodes"), F.collect_list("comp").alias("comps"), F.collect_list("shingles").alias("sets")))
-    x = filled.where("minor").select("leader", *(F.col(c).alias(f"x{c}") for c in ("nodes", "comps", "sets")))
-    pairs = x.join(filled.select("leader", "nodes", "comps", "sets"), "leader").drop("leader")
+    filled = checkpoint(dealt.join(sets, "node").groupBy("leader", "block", "minor").agg(F.collect_list("comp").alias("comps"), F.collect_list("shingles").alias("sets")))
+    x = filled.where("minor").select("leader", *(F.col(c).alias(f"x{c}") for c in ("comps", "sets")))
+    pairs = x.join(filled.select("leader", "comps", "sets"), "leader").drop("leader")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
-                xn, xc, xsets, yn, yc, ysets = (batch.column(c)[i].values for c in range(6))
+                xc, xsets, yc, ysets = (batch.column(c)[i].values for c in range(4))
                 xs, ys = ([v.values.to_numpy() for v in side] for side in (xsets, ysets))
                 common = _common(xs, ys)
                 union = np.array([len(v) for v in xs])[:, None] + np.array([len(v) for v in ys])[None] - common
                 near = (100 * common >= percent * union) & (xc.to_numpy()[:, None] != yc.to_numpy()[None])
-                xn, yn = xn.to_numpy(), yn.to_numpy()
-                # One link of a member to each component is enough.
                 a, b = np.nonzero(near)
-                _, one = np.unique(np.stack((a, np.unique(yc.to_numpy(), return_inverse=True)[1][b])), axis=1, return_index=True)
-                near = zip(a[one], b[one], strict=True)
-                links += [(min(p), max(p)) for p in ((int(xn[a]), int(yn[b])) for a, b in near)]
+                links += _forest(xc.to_numpy()[a], yc.to_numpy()[b]) if len(a) else []
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     few = pairs.repartition(max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, neardup, packing, pii, quality, secretscan, sharding, toxicity, urls
+from . import decontaminate, media, neardup, oracles, packing, pii, quality, secretscan, sharding, toxicity, urls
 from .common import table
 
 
@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_media, op2_sharding, op3_pii, op4_quality, op5_packing, op6_urls, op7_secrets, op8_near_duplicates, op9_toxicity, op10_decontamination)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_urls": oracles.urls(urls.RULES), "op8_near_duplicates": oracles.NEAR_DUPLICATES, "op10_decontamination": oracles.LEAKS}

@@ -116,7 +116,8 @@ def _select(t: DataFrame, plan: dict[int, list], weight: str, tolerance: float)
             up = int(r["upto"] - need < need - before)
             if kind == "key":
                 edge = (prefix << width) + digit
-                if abs(close) <= tolerance * plan[n][2]:
+                # The last digit tells single groups apart: a wider miss is better than parting one.
+                if abs(close) <= tolerance * plan[n][2] * (2.5 if shift == 0 else 1):
                     done[n] = ((edge + up) << shift, _LEAST)
                 else:
                     at[n] = (edge, edge if shift == 0 else 0, 0, need - before)
