@@ -71,6 +71,41 @@ def _latin(c: pd.Series) -> list[bytes]:
     return [x.encode("latin-1") for x in c]
 
 
+def _within(texts: list[bytes], pattern: bytes, max_distance: int) -> np.ndarray:
+    """Whether the pattern occurs anywhere in each text, with at most so many mismatches."""
+    out = np.zeros(len(texts), bool)
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for i, t in enumerate(texts):
+        by_size[len(t)].append(i)
+    p = np.frombuffer(pattern, np.uint8)
+    for size, own in by_size.items():
+        if size < len(p):
+            continue
+        a = _rows([texts[i] for i in own], size)
+        wrong = np.zeros((len(own), size - len(p) + 1), np.int32)
+        for k, c in enumerate(p):
+            wrong += a[:, k : k + wrong.shape[1]] != c
+        out[own] = (wrong <= max_distance).any(1)
+    return out
+
+
+def patterns_within(seqs: list[Column], forms: dict[str, list[str]], max_distance: int) -> Column:
+    """Array of the names in ``forms`` of which a form occurs anywhere in any of the sequences, in their order."""
+    coded = {name: [f.encode("latin-1") for f in own] for name, own in forms.items()}
+
+    @F.pandas_udf("array<string>")
+    def run(*columns: pd.Series) -> pd.Series:
+        texts = [_latin(c) for c in columns]
+        hits = [np.logical_or.reduce([_within(t, f, max_distance) for t in texts for f in own]) for own in coded.values()]
+        found = [[] for _ in range(len(columns[0]))]
+        for name, hit in zip(coded, hits, strict=True):
+            for i in np.flatnonzero(hit):
+                found[i].append(name)
+        return pd.Series(found)
+
+    return run(*seqs)
+
+
 def merge(read1: Column | str, read2: Column | str, min_overlap: int, max_rate: float, mode: str, overhang: bool, revcomp: bool) -> Column:
     """Struct of overlap, mismatches, insert, seq, qual; seq and qual are null without an overlap.
 

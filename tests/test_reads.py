@@ -1,5 +1,6 @@
 """Literal cases of every read operator, in memory."""
 
+import functools
 import random
 import warnings
 
@@ -285,3 +286,13 @@ def test_generator(spark):
     found = records.merge_pairs(df, 12, 0).where("merge.overlap > 0").count()
     assert 50 < found < 150
     assert generate.random_reads(spark, 0).count() == 0
+
+
+def test_patterns_within_agrees_with_the_native_form(spark):
+    rows = [("ACGTACGTTGCA", "TTTT"), ("", "ACGTT"), ("GGGGGGG", "CCACGTA"), ("ACG", "NNNNNNNN")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    forms = {"ACGTA": ["ACGTA", "TACGT"], "TTTT": ["TTTT", "AAAA"], "GGG": ["GGG"]}
+    for d in (1, 2):
+        native = [F.when(functools.reduce(lambda x, y: x | y, (R.matches_within(f, c, d) for c in ("a", "b") for f in own)), F.lit(n)) for n, own in forms.items()]
+        got = df.select(vectorised.patterns_within([F.col("a"), F.col("b")], forms, d).alias("x"), F.filter(F.array(*native), lambda v: v.isNotNull()).alias("y")).collect()
+        assert all(r.x == r.y for r in got)
