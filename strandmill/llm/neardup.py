@@ -146,10 +146,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     need = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(TAU))
     more = F.col("k") - need + 1 - (F.col("k") - F.size("found"))
     entries = checkpoint(
-        shared.withColumn("more", more.cast("int")).where("more > 0").select("node", "central", F.explode(F.slice("found", F.lit(1), F.col("more"))).alias("e")).select(F.col("e.value").alias("value"), "node", "central")
+        shared.withColumn("more", more.cast("int")).where("more > 0").select("node", "n", "central", F.explode(F.slice("found", F.lit(1), F.col("more"))).alias("e")).select(F.col("e.value").alias("value"), "node", "n", "central")
     )
     lists = checkpoint(entries.groupBy("value").agg(F.max(F.struct("central", "node")).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1").select("value", F.col("top.node").alias("leader"), "size"))
-    listed = checkpoint(entries.join(lists, "value").select("value", "node", "leader", "size"))
+    listed = checkpoint(entries.join(lists, "value").select("value", "node", "n", "leader", "size"))
     stars = listed.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -170,10 +170,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # Lists whose star left more than one component.
     open_ = checkpoint(labelled(listed))
     split = open_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
-    left = open_.join(split, "value", "left_semi")
-    short = left.where(f"size <= {SHORT}").select("value", "node", "comp")
-    other = short.select("value", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = short.join(other, "value").where("node < b and comp <> cb").select(F.col("node").alias("a"), "b")
+    left = checkpoint(open_.join(split, "value", "left_semi"))
+    short = left.where(f"size <= {SHORT}").select("value", "node", "n", "comp")
+    other = short.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = short.join(other, "value").where(f"node < b and comp <> cb and 100 * least(n, nb) >= {percent} * greatest(n, nb)").select(F.col("node").alias("a"), "b")
     long_ = checkpoint(left.where(f"size > {SHORT}").select("leader", "node", "comp").distinct())
     in_groups = None if long_.isEmpty() else checkpoint(_in_groups(long_, checkpoint(sets_of(long_.select("node"))), percent))
     likely = checkpoint(_likely(pairs.distinct().join(stars, ["a", "b"], "left_anti"), classes, percent))
