@@ -85,6 +85,17 @@ def test_odd_rows(spark):
     assert result(spark, rows, 2) == brute(rows, 2)
 
 
+def test_texts_are_joined_without_broadcast(spark, monkeypatch):
+    """Beyond the bound on broadcast keys, and with lists that are long from three members on."""
+    monkeypatch.setattr(neardup, "KEYS", 0)
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(70)]
+    rows = list(enumerate(" ".join(edited(rng, base, rng.randrange(10), vocabulary)) for _ in range(40)))
+    assert result(spark, rows, 2) == brute(rows, 2)
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA), words=5).collect() == []
 
