@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -103,6 +103,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _guaranteed(n: Column, percent: int) -> Column:
+    """How many of a whole set's ``n`` values the sketch of any similar set holds at least.
+
+    Against a set that is whole too, it is the share of ``n``. A larger one's
+    sketch may lack values of the common part, as many as it leaves out at most;
+    the largest set that can be similar leaves out most.
+    """
+    most = F.floor(n * 100 / percent)
+    common = F.ceil((n + most) * percent / (100 + percent))
+    return F.least(F.ceil(n * percent / 100), F.greatest(common - F.greatest(most - K, F.lit(0)), F.lit(1)))
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and whose union's sketch allow the similarity, with their sizes."""
     sa = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
@@ -143,7 +155,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         F.first("k").alias("k"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("found"), F.sum("freq").alias("central")
     )
     # Values that no other class has come first in the order of rarity; how many more make up the prefix.
-    need = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(TAU))
+    need = F.when(F.col("n") <= K, _guaranteed(F.col("n"), percent)).otherwise(F.lit(TAU))
     more = F.col("k") - need + 1 - (F.col("k") - F.size("found"))
     entries = checkpoint(
         shared.withColumn("more", more.cast("int")).where("more > 0").select("node", "n", "central", F.explode(F.slice("found", F.lit(1), F.col("more"))).alias("e")).select(F.col("e.value").alias("value"), "node", "n", "central")

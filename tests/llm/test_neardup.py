@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandmill.llm import neardup
 from strandmill.llm.shingles import shingle_set
@@ -96,6 +97,28 @@ def test_texts_are_joined_without_broadcast(spark, monkeypatch):
     assert result(spark, rows, 2) == brute(rows, 2)
 
 
+def test_whole_sets_against_cut_sketches(spark):
+    """Sets of 40 to 48 shingles and supersets of them of 49 to 60, around the threshold; only the pair itself shares words."""
+    rows, sizes = [], [(a, b) for a in range(40, 49) for b in range(49, 62) if 100 * a >= 78 * b]
+    for i, (a, b) in enumerate(sizes * 3):
+        longer = [f"p{i}x{k}" for k in range(b + 1)]
+        rows += [(2 * i, " ".join(longer[: a + 1])), (2 * i + 1, " ".join(longer))]
+    got = result(spark, rows, 2)
+    assert got == brute(rows, 2)
+    assert {r[1] for r in got if r[3] is False} == set(range(49, 61))
+
+
+def test_guaranteed_common_values(spark):
+    """Against every size of a similar set, with the worst choice of the values that its sketch leaves out."""
+    n = spark.range(1, neardup.K + 1).select("id", neardup._guaranteed(F.col("id"), 80).alias("g"))
+    for a, g in n.collect():
+        least = []
+        for b in range(1, 2 * a + 1):
+            similar = [c for c in range(1, min(a, b) + 1) if 100 * c >= 80 * (a + b - c)]
+            least += [min(similar) - max(b - neardup.K, 0)] if similar else []
+        assert g == min(least)
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA), words=5).collect() == []
 
