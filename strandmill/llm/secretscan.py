@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, and a random forest that removes false ones.
 
-Candidates are long runs of key characters with a digit. The forest reads each
+Candidates are long runs of key characters, and runs of any length after a key
+word, whatever kinds of characters they hold and whatever follows. The forest reads each
 one's length, transitions between kinds of characters, coverage by dictionary
 words, the document's path and the neighbouring words. It is trained from
 labelled findings and compiled to CASE expressions, so that scoring stays in SQL.
@@ -15,7 +16,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,64}[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}(?![A-Za-z0-9+/_\-=@])"
+_RUN = r"[A-Za-z0-9+/_\-]"
+_WORDS = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_ \-]?key|access[_ \-]?key|auth(?:orization)?|bearer|credentials?|private[_ \-]?key|client[_ \-]?secret"
+#: Every whole run of 12 characters or more, and of any length after a key word.
+CANDIDATE = rf"(?<!{_RUN})(?:{_RUN}{{12,}}+|(?<=(?i:{_WORDS})[\"']?\s{{0,3}}(?:=>|=|:|is)?\s{{0,3}}[\"'(]?){_RUN}{{1,11}}+)(?:={{1,2}}(?![A-Za-z0-9+/_\-=]))?"
 #: Characters of context on either side.
 CONTEXT = 48
 TREES = 24
@@ -42,7 +46,9 @@ _DICTIONARY = (
 ).split()
 _COVERED = "(?:" + "|".join(sorted(set(_DICTIONARY), key=lambda w: (-len(w), w))) + ")"
 _PATH = r"(?i)(?:^|[/_.\-])(?:tests?|specs?|examples?|samples?|fixtures?|mocks?|docs?|demo|vendor|node_modules|dist|lock)(?:$|[/_.\-])|\.(?:lock|min\.js|svg|md|rst)$"
-_NEAR = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ \-]?key|access[_ \-]?key|auth(?:orization)?|bearer|credentials?|private[_ \-]?key|client[_ \-]?secret)[\"']?\s{0,3}(?:=|:|=>|is)?\s{0,3}[\"'(]?$"
+_NEAR = rf"(?i)(?:{_WORDS})[\"']?\s{{0,3}}(?:=>|=|:|is)?\s{{0,3}}[\"'(]?$"
+_ASSIGNED = rf"(?i)(?:{_WORDS})[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}[\"'(]?$"
+_USERINFO = r"://[^\s/@]{0,40}:$"
 _FAR = r"(?i)(?:sha-?(?:1|256|512)?|md5|commit|checksum|hash|digest|uuid|guid|revision|etag|integrity|version|build|sequence|invoice|order|tracking|serial|isbn|id)[\"']?\s{0,3}(?:=|:|#|is)?\s{0,3}[\"'(]?$"
 _KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|^sk-[A-Za-z0-9]{20,}|^xox[abprs]-[A-Za-z0-9\-]{10,}|^AIza[A-Za-z0-9_\-]{30,}|^eyJ[A-Za-z0-9_\-]{16,}|^glpat-[A-Za-z0-9_\-]{16,}"
 
@@ -69,6 +75,9 @@ FEATURES: tuple[tuple[str, str], ...] = (
     ("runs", f"length({{c}}) - length(regexp_replace({{c}}, {_q('(.)' + chr(92) + '1{2,}')}, '$1'))"),
     ("path", f"if(regexp_like({{p}}, {_q(_PATH)}), 1, 0)"),
     ("near", f"if(regexp_like({{b}}, {_q(_NEAR)}), 1, 0)"),
+    ("assigned", f"if(regexp_like({{b}}, {_q(_ASSIGNED)}), 1, 0)"),
+    ("userinfo", f"if(regexp_like({{b}}, {_q(_USERINFO)}) and startswith({{a}}, '@'), 1, 0)"),
+    ("named", "if(startswith({a}, '=') or startswith({a}, '@'), 1, 0)"),
     ("far", f"if(regexp_like({{b}}, {_q(_FAR)}), 1, 0)"),
     ("address", f"if(regexp_like({{b}}, {_q('(?:://|www' + chr(92) + '.|[/@.])[^ ]*$')}) or startswith({{a}}, '.'), 1, 0)"),
 )
@@ -89,11 +98,18 @@ def sample_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     """
     hexes, more = "md5(concat('a', id))", "md5(concat('b', id))"
     mixed = "translate(base64(unhex(concat(md5(concat('c', id)), md5(concat('d', id))))), '+/=', 'xYz')"
-    word = "element_at(array('user', 'account', 'product', 'session', 'gallery', 'summer', 'release', 'template', 'station', 'chapter'), cast(id div 28 % 10 + 1 as int))"
-    year = "cast(1990 + id div 28 % 40 as string)"
+    word = "element_at(array('user', 'account', 'product', 'session', 'gallery', 'summer', 'release', 'template', 'station', 'chapter'), cast(id div {N} % 10 + 1 as int))"
+    year = "cast(1990 + id div {N} % 40 as string)"
     digits = "translate(md5(concat('e', id)), 'abcdef', '012345')"
-    lead = "element_at(array('and then the ', 'as in ', 'we met ', 'see below. ', '', 'notes on '), cast(id div 28 % 6 + 1 as int))"
-    key = "element_at(array('password=', 'token = \"', 'api_key: ', 'secret=', 'passwd = ', 'access_key = \"', 'auth token: ', 'client_secret=\\'', 'pwd=', 'credential '), cast(id div 28 % 10 + 1 as int))"
+    lead = "element_at(array('and then the ', 'as in ', 'we met ', 'see below. ', '', 'notes on '), cast(id div {N} % 6 + 1 as int))"
+    key = "element_at(array('password=', 'token = \"', 'api_key: ', 'secret=', 'passwd = ', 'access_key = \"', 'auth token: ', 'client_secret=\\'', 'pwd=', 'credential '), cast(id div {N} % 10 + 1 as int))"
+    letters = f"translate({mixed}, '0123456789', 'qWeRtYuIoP')"
+    prose = "element_at(array('international', 'responsibilities', 'characteristics', 'Notwithstanding', 'extraordinarily', 'well-established', 'Massachusetts', 'and/or-whatever', 'communication', 'Administration'), cast(id div {N} % 10 + 1 as int))"
+    brief = "element_at(array('was', 'ingredient', 'ceremony', 'protected', 'of', 'the', 'and', 'is', 'garden', 'Bearer'), cast(id div {N} % 10 + 1 as int))"
+    empty = "element_at(array('changeme', 'null', 'none', 'your', 'test', 'example', 'password', 'dummy', 'here', 'true'), cast(id div {N} % 10 + 1 as int))"
+    sign = "element_at(array('password=', 'token = \"', 'api_key: ', 'secret=', 'passwd = ', 'client_secret=\\''), cast(id div {N} % 6 + 1 as int))"
+    said = "element_at(array('the secret ', 'password is ', 'a token ', 'credentials ', 'of the password ', 'authorization '), cast(id div {N} % 6 + 1 as int))"
+    login = "element_at(array('postgres://user:', 'https://bob:', 'amqp://svc-1:'), cast(id div {N} % 3 + 1 as int))"
     forms = [
         (f"substring({hexes}, 1, 18)", f"concat({lead}, {key})", 1),
         (f"concat({hexes}, substring({more}, 1, 8))", f"concat({lead}, {key})", 1),
@@ -123,12 +139,30 @@ def sample_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (f"concat('assets/', {word}, '/image-', {year}, '-large')", f"concat({lead}, 'https://')", 0),
         (f"substring({mixed}, 1, 44)", f"concat({lead}, 'https://cdn.example.com/v/')", 0),
         (f"concat({year}, '-08-14T10-22-', id % 60, '-', {word})", lead, 0),
+        (f"substring({letters}, 1, cast(14 + id % 20 as int))", f"concat({lead}, {sign})", 1),
+        (f"concat(initcap(substring({letters}, 1, 7)), initcap(substring({letters}, 8, 5)), initcap(substring({letters}, 13, 7)), initcap(substring({letters}, 20, 6)))", f"concat({lead}, {sign})", 1),
+        (f"lower(substring({letters}, 1, cast(12 + id % 16 as int)))", f"concat({lead}, {sign})", 1),
+        (f"concat('AKIA', substring(upper({letters}), 1, 16))", lead, 1),
+        (f"substring({mixed}, 1, cast(8 + id % 16 as int))", f"concat({lead}, {login})", 1, "'@host'"),
+        (f"substring({letters}, 1, cast(8 + id % 16 as int))", f"concat({lead}, {login})", 1, "'@host'"),
+        (f"substring({mixed}, 1, cast(6 + id % 6 as int))", f"concat({lead}, {sign})", 1),
+        (f"substring({hexes}, 1, cast(6 + id % 6 as int))", f"concat({lead}, {sign})", 1),
+        (prose, lead, 0),
+        (prose, f"concat({lead}, {said})", 0),
+        (brief, f"concat({lead}, {said})", 0),
+        (empty, f"concat({lead}, {sign})", 0),
+        (f"concat(substring(lower({letters}), 1, 9), {year})", lead, 0, "'@example.com'"),
+        (f"concat({word}, '_client_secret')", lead, 0, "'='"),
+        (f"concat(substring(lower({letters}), 1, 8), '_access_key')", lead, 0, "' = \"'"),
+        (f"lower(substring({letters}, 1, cast(12 + id % 8 as int)))", lead, 0),
+        (f"concat({word}, '-', substring(lower({letters}), 1, 6), '-', {word})", lead, 0),
     ]
-    cases = lambda i: " ".join(f"when {k} then {f[i]}" for k, f in enumerate(forms))
+    count = len(forms)
+    cases = lambda i: " ".join(f"when {k} then {f[i]}" for k, f in enumerate(forms) if len(f) > i).replace("{N}", str(count))
     path = "element_at(array('src/main', 'src7', 'config/app.yaml', 'tests/fixtures/a', 'notes', 'docs/readme.md'), cast(id div 7 % 6 + 1 as int))"
     return spark.range(n).select(
-        F.expr(f"case id % {len(forms)} {cases(0)} end").alias("candidate"), F.expr(f"case id % {len(forms)} {cases(1)} end").alias("before"),
-        F.expr("if(id % 3 = 0, ' and more', '\" it')").alias("after"), F.expr(path).alias("path"), F.expr(f"case id % {len(forms)} {cases(2)} end").alias("label"),
+        F.expr(f"case id % {count} {cases(0)} end").alias("candidate"), F.expr(f"case id % {count} {cases(1)} end").alias("before"),
+        F.expr(f"case id % {count} {cases(3)} else if(id % 3 = 0, ' and more', '\" it') end").alias("after"), F.expr(path).alias("path"), F.expr(f"case id % {count} {cases(2)} end").alias("label"),
     )
 
 
@@ -179,17 +213,19 @@ def _scored(docs: DataFrame, forest: str, text: str, path: str | None) -> DataFr
     """Add ``__found``: an array of struct(candidate, start, before, after, score); null if there is no candidate.
 
     Between candidates lie the pieces that the same pattern splits off, which
-    gives each one's place and neighbours without leaving the row.
+    gives each one's place and neighbours without leaving the row. The text
+    before one includes the candidates before it.
     """
     rx = _q(CANDIDATE)
     t = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__path", F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit(""))
     t = t.withColumn("__cands", F.expr(f"if(regexp_like(__text, {rx}), regexp_extract_all(__text, {rx}, 0), null)"))
     t = t.withColumn("__gaps", F.expr(f"if(__cands is null, null, split(__text, {rx}, -1))"))
     placed = f"""aggregate(sequence(0, size(__cands) - 1),
-        named_struct('at', 0L, 'out', cast(array() as array<struct<c:string,s:bigint,b:string,a:string>>)),
+        named_struct('at', 0L, 'tail', '', 'out', cast(array() as array<struct<c:string,s:bigint,b:string,a:string>>)),
         (acc, i) -> named_struct(
             'at', acc.at + length(__gaps[i]) + length(__cands[i]),
-            'out', concat(acc.out, array(named_struct('c', __cands[i], 's', acc.at + length(__gaps[i]), 'b', right(__gaps[i], {CONTEXT}), 'a', left(__gaps[i + 1], {CONTEXT}))))),
+            'tail', right(concat(acc.tail, right(__gaps[i], {CONTEXT}), right(__cands[i], {CONTEXT})), {CONTEXT}),
+            'out', concat(acc.out, array(named_struct('c', __cands[i], 's', acc.at + length(__gaps[i]), 'b', right(concat(acc.tail, right(__gaps[i], {CONTEXT})), {CONTEXT}), 'a', left(__gaps[i + 1], {CONTEXT}))))),
         acc -> acc.out)"""
     t = t.withColumn("__placed", F.expr(f"if(__cands is null, null, {placed})"))
     t = t.withColumn("__feats", F.expr(f"transform(__placed, x -> named_struct('x', x, 'f', {feature_sql('x.c', 'x.b', 'x.a', '__path')}))"))
