@@ -318,6 +318,45 @@ def align_lv_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _align(spark, sf_dir, boundary="global", distance_metric="lv").select("read_index", "a.distance")
 
 
+def _align_whole(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """All 32 bases of read1 with all of read2; for Hamming ``contains``, a whole barcode with all of read2."""
+    inside = how["boundary"] == "contains" and how["distance_metric"] == "hm"
+    query = F.element_at(F.array(*map(F.lit, INDEX_BARCODES)), (F.col("read_index") % len(INDEX_BARCODES) + 1).cast("int")) if inside else F.col("read1.seq")
+    t = pairs(spark, sf_dir).select("read_index", query.alias("query"), F.col("read2.seq").alias("target"))
+    return t.select("read_index", alignment.align("query", "target", **how).alias("a")).select("read_index", "a.*")
+
+
+# Without SQL: the tests compare them with brute force.
+@_query(None)
+def align_hm_starts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _align_whole(spark, sf_dir, max_distance=24, boundary="starts", distance_metric="hm")
+
+
+@_query(None)
+def align_hm_contains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _align_whole(spark, sf_dir, max_distance=1, boundary="contains", distance_metric="hm")
+
+
+@_query(None)
+def align_hm_global_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _align_whole(spark, sf_dir, max_distance=24, boundary="global", distance_metric="hm")
+
+
+@_query(None)
+def align_lv_starts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _align_whole(spark, sf_dir, boundary="starts", distance_metric="lv")
+
+
+@_query(None)
+def align_lv_contains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _align_whole(spark, sf_dir, boundary="contains", distance_metric="lv")
+
+
+@_query(None)
+def align_lv_global_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _align_whole(spark, sf_dir, boundary="global", distance_metric="lv")
+
+
 @_query("SELECT 'even.fastq' AS output, read_index, 0 AS ord, name, seq, qual FROM r1 WHERE read_index % 2 = 0")
 def kernel_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.run_records(singles(spark, sf_dir), kernels.even_reads("even.fastq"))
