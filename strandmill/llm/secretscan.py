@@ -1,25 +1,36 @@
 """Secret scan: candidate strings, and a random forest that removes false ones.
 
-Candidates are long runs of key characters, and runs of any length after a key
-word, whatever kinds of characters they hold and whatever follows. The forest reads each
-one's length, transitions between kinds of characters, coverage by dictionary
-words, the document's path and the neighbouring words. It is trained from
-labelled findings and compiled to CASE expressions, so that scoring stays in SQL.
+Candidates are long runs of key characters, runs of any length after a key word,
+and, where a key word is given a value by a sign, the whole value with whatever
+signs it holds. The forest reads each one's length, transitions between kinds of
+characters, coverage by dictionary words, the document's path and the
+neighbouring words. It is trained from labelled findings and compiled to CASE
+expressions, so that scoring stays in SQL.
 
 DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checkpoint, fresh
+
 _RUN = r"[A-Za-z0-9+/_\-]"
 _WORDS = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_ \-]?key|access[_ \-]?key|auth(?:orization)?|bearer|credentials?|private[_ \-]?key|client[_ \-]?secret"
-#: Every whole run of 12 characters or more, and of any length after a key word.
-CANDIDATE = rf"(?<!{_RUN})(?:{_RUN}{{12,}}+|(?<=(?i:{_WORDS})[\"']?\s{{0,3}}(?:=>|=|:|is)?\s{{0,3}}[\"'(]?){_RUN}{{1,11}}+)(?:={{1,2}}(?![A-Za-z0-9+/_\-=]))?"
+#: A value that a key word is given: no blanks, quotes, brackets, separators or at signs; an ampersand only where no other parameter starts.
+_VALUE = r"[^\s\"'`<>,;(){}\[\]&@]+(?:&(?!\w{1,32}=)[^\s\"'`<>,;(){}\[\]&@]*){0,8}(?<![.:!?])"
+#: A sign of assignment close before, which is cheaper to look for than a key word.
+_GIVEN = r"(?<=[=:>]\s{0,3}[\"'(]?)"
+_END = r"(?:={1,2}(?![A-Za-z0-9+/_\-=]))?"
+#: Every given value, every whole run of 12 characters or more, and of any length after a key word.
+CANDIDATE = (
+    rf"{_GIVEN}(?<=(?i:{_WORDS})[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}[\"'(]?)(?=[^\s=>]){_VALUE}"
+    rf"|(?<!{_RUN})(?:{_RUN}{{12,}}+|(?<=(?i:{_WORDS})[\"']?\s{{0,3}}(?:=>|=|:|is)?\s{{0,3}}[\"'(]?){_RUN}{{1,11}}+){_END}"
+)
+#: The same candidates in a text that holds no key word, where nothing needs to be looked for before them.
+PLAIN_CANDIDATE = rf"(?<!{_RUN}){_RUN}{{12,}}+{_END}"
 #: Characters of context on either side.
 CONTEXT = 48
 TREES = 24
@@ -96,161 +107,209 @@ def sample_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
 
     Deterministic; used where no reviewed table is given.
     """
-    hexes, more = "md5(concat('a', id))", "md5(concat('b', id))"
     mixed = "translate(base64(unhex(concat(md5(concat('c', id)), md5(concat('d', id))))), '+/=', 'xYz')"
-    word = "element_at(array('user', 'account', 'product', 'session', 'gallery', 'summer', 'release', 'template', 'station', 'chapter'), cast(id div {N} % 10 + 1 as int))"
-    year = "cast(1990 + id div {N} % 40 as string)"
-    digits = "translate(md5(concat('e', id)), 'abcdef', '012345')"
-    lead = "element_at(array('and then the ', 'as in ', 'we met ', 'see below. ', '', 'notes on '), cast(id div {N} % 6 + 1 as int))"
-    key = "element_at(array('password=', 'token = \"', 'api_key: ', 'secret=', 'passwd = ', 'access_key = \"', 'auth token: ', 'client_secret=\\'', 'pwd=', 'credential '), cast(id div {N} % 10 + 1 as int))"
-    letters = f"translate({mixed}, '0123456789', 'qWeRtYuIoP')"
-    prose = "element_at(array('international', 'responsibilities', 'characteristics', 'Notwithstanding', 'extraordinarily', 'well-established', 'Massachusetts', 'and/or-whatever', 'communication', 'Administration'), cast(id div {N} % 10 + 1 as int))"
-    brief = "element_at(array('was', 'ingredient', 'ceremony', 'protected', 'of', 'the', 'and', 'is', 'garden', 'Bearer'), cast(id div {N} % 10 + 1 as int))"
-    empty = "element_at(array('changeme', 'null', 'none', 'your', 'test', 'example', 'password', 'dummy', 'here', 'true'), cast(id div {N} % 10 + 1 as int))"
-    sign = "element_at(array('password=', 'token = \"', 'api_key: ', 'secret=', 'passwd = ', 'client_secret=\\''), cast(id div {N} % 6 + 1 as int))"
-    said = "element_at(array('the secret ', 'password is ', 'a token ', 'credentials ', 'of the password ', 'authorization '), cast(id div {N} % 6 + 1 as int))"
-    login = "element_at(array('postgres://user:', 'https://bob:', 'amqp://svc-1:'), cast(id div {N} % 3 + 1 as int))"
+    parts = {
+        "hexes": "md5(concat('a', id))",
+        "more": "md5(concat('b', id))",
+        "mixed": mixed,
+        "word": "element_at(array('user', 'account', 'product', 'session', 'gallery', 'summer', 'release', 'template', 'station', 'chapter'), cast(id div {N} % 10 + 1 as int))",
+        "year": "cast(1990 + id div {N} % 40 as string)",
+        "digits": "translate(md5(concat('e', id)), 'abcdef', '012345')",
+        "lead": "element_at(array('and then the ', 'as in ', 'we met ', 'see below. ', '', 'notes on '), cast(id div {N} % 6 + 1 as int))",
+        "key": "element_at(array('password=', 'token = \"', 'api_key: ', 'secret=', 'passwd = ', 'access_key = \"', 'auth token: ', 'client_secret=\\'', 'pwd=', 'credential '), cast(id div {N} % 10 + 1 as int))",
+        "letters": f"translate({mixed}, '0123456789', 'qWeRtYuIoP')",
+        "prose": "element_at(array('international', 'responsibilities', 'characteristics', 'Notwithstanding', 'extraordinarily', 'well-established', 'Massachusetts', 'and/or-whatever', 'communication', 'Administration'), cast(id div {N} % 10 + 1 as int))",
+        "brief": "element_at(array('was', 'ingredient', 'ceremony', 'protected', 'of', 'the', 'and', 'is', 'garden', 'Bearer'), cast(id div {N} % 10 + 1 as int))",
+        "empty": "element_at(array('changeme', 'null', 'none', 'your', 'test', 'example', 'password', 'dummy', 'here', 'true'), cast(id div {N} % 10 + 1 as int))",
+        "sign": "element_at(array('password=', 'token = \"', 'api_key: ', 'secret=', 'passwd = ', 'client_secret=\\''), cast(id div {N} % 6 + 1 as int))",
+        "said": "element_at(array('the secret ', 'password is ', 'a token ', 'credentials ', 'of the password ', 'authorization '), cast(id div {N} % 6 + 1 as int))",
+        "told": "element_at(array('the secret: ', 'Password: ', 'one token: ', 'credentials: '), cast(id div {N} % 4 + 1 as int))",
+        "odd": "element_at(array('&', '#', '$', '%', '!', '*', '.', '~'), cast(id div {N} % 8 + 1 as int))",
+        "login": "element_at(array('postgres://user:', 'https://bob:', 'amqp://svc-1:'), cast(id div {N} % 3 + 1 as int))",
+    }
     forms = [
-        (f"substring({hexes}, 1, 18)", f"concat({lead}, {key})", 1),
-        (f"concat({hexes}, substring({more}, 1, 8))", f"concat({lead}, {key})", 1),
-        (f"substring({mixed}, 1, cast(16 + id % 24 as int))", f"concat({lead}, {key})", 1),
-        (f"concat('AKIA', substring(upper(translate({mixed}, '018', 'QRS')), 1, 16))", lead, 1),
-        (f"concat('AKIA', substring(upper({mixed}), 1, 16))", lead, 1),
-        (f"concat('ghp_', substring({mixed}, 1, 36))", lead, 1),
-        (f"concat('sk_live_', substring({mixed}, 1, 24))", f"concat({lead}, 'key ')", 1),
-        (f"concat('AKIA', substring(upper({hexes}), 1, 8), substring(upper({mixed}), 1, 8))", f"concat({lead}, 'AWS ')", 1),
-        (f"substring({mixed}, 1, 40)", f"concat({lead}, 'secret ')", 1),
-        (f"substring({hexes}, 1, cast(16 + id % 16 as int))", f"concat({lead}, {key})", 1),
-        (f"substring({hexes}, 1, 12)", f"concat({lead}, 'commit ')", 0),
-        (f"concat({hexes}, substring({more}, 1, 8))", f"concat({lead}, 'commit ')", 0),
-        (hexes, f"concat({lead}, 'md5: ')", 0),
-        (f"concat({hexes}, {more})", f"concat({lead}, 'sha256:')", 0),
-        (f"concat({hexes}, substring({more}, 1, 8))", lead, 0),
-        (hexes, lead, 0),
-        (f"concat_ws('-', substring({hexes}, 1, 8), substring({hexes}, 9, 4), substring({hexes}, 13, 4), substring({hexes}, 17, 4), substring({more}, 1, 12))", f"concat({lead}, 'id ')", 0),
-        (f"concat_ws('-', substring({hexes}, 1, 8), substring({hexes}, 9, 4), substring({hexes}, 13, 4), substring({hexes}, 17, 4), substring({more}, 1, 12))", lead, 0),
-        (f"concat({word}, '_settings_', {year})", lead, 0),
-        (f"concat('changeme', {word}, {year})", f"concat({lead}, {key})", 0),
-        (f"concat('your-', {word}, '-token-here-', id % 10)", f"concat({lead}, {key})", 0),
-        (f"concat({word}, 'Manager', {year}, 'Factory')", lead, 0),
-        (f"concat('xxxxxxxxxxxx', id % 100)", f"concat({lead}, {key})", 0),
-        (f"substring({digits}, 1, 16)", lead, 0),
-        (f"substring({digits}, 1, cast(12 + id % 8 as int))", f"concat({lead}, 'order ')", 0),
-        (f"concat('assets/', {word}, '/image-', {year}, '-large')", f"concat({lead}, 'https://')", 0),
-        (f"substring({mixed}, 1, 44)", f"concat({lead}, 'https://cdn.example.com/v/')", 0),
-        (f"concat({year}, '-08-14T10-22-', id % 60, '-', {word})", lead, 0),
-        (f"substring({letters}, 1, cast(14 + id % 20 as int))", f"concat({lead}, {sign})", 1),
-        (f"concat(initcap(substring({letters}, 1, 7)), initcap(substring({letters}, 8, 5)), initcap(substring({letters}, 13, 7)), initcap(substring({letters}, 20, 6)))", f"concat({lead}, {sign})", 1),
-        (f"lower(substring({letters}, 1, cast(12 + id % 16 as int)))", f"concat({lead}, {sign})", 1),
-        (f"concat('AKIA', substring(upper({letters}), 1, 16))", lead, 1),
-        (f"substring({mixed}, 1, cast(8 + id % 16 as int))", f"concat({lead}, {login})", 1, "'@host'"),
-        (f"substring({letters}, 1, cast(8 + id % 16 as int))", f"concat({lead}, {login})", 1, "'@host'"),
-        (f"substring({mixed}, 1, cast(6 + id % 6 as int))", f"concat({lead}, {sign})", 1),
-        (f"substring({hexes}, 1, cast(6 + id % 6 as int))", f"concat({lead}, {sign})", 1),
-        (prose, lead, 0),
-        (prose, f"concat({lead}, {said})", 0),
-        (brief, f"concat({lead}, {said})", 0),
-        (empty, f"concat({lead}, {sign})", 0),
-        (f"concat(substring(lower({letters}), 1, 9), {year})", lead, 0, "'@example.com'"),
-        (f"concat({word}, '_client_secret')", lead, 0, "'='"),
-        (f"concat(substring(lower({letters}), 1, 8), '_access_key')", lead, 0, "' = \"'"),
-        (f"lower(substring({letters}, 1, cast(12 + id % 8 as int)))", lead, 0),
-        (f"concat({word}, '-', substring(lower({letters}), 1, 6), '-', {word})", lead, 0),
+        ("substring(hexes, 1, 18)", "concat(lead, key)", 1),
+        ("concat(hexes, substring(more, 1, 8))", "concat(lead, key)", 1),
+        ("substring(mixed, 1, cast(16 + id % 24 as int))", "concat(lead, key)", 1),
+        ("concat('AKIA', substring(upper(translate(mixed, '018', 'QRS')), 1, 16))", "lead", 1),
+        ("concat('AKIA', substring(upper(mixed), 1, 16))", "lead", 1),
+        ("concat('ghp_', substring(mixed, 1, 36))", "lead", 1),
+        ("concat('sk_live_', substring(mixed, 1, 24))", "concat(lead, 'key ')", 1),
+        ("concat('AKIA', substring(upper(hexes), 1, 8), substring(upper(mixed), 1, 8))", "concat(lead, 'AWS ')", 1),
+        ("substring(mixed, 1, 40)", "concat(lead, 'secret ')", 1),
+        ("substring(hexes, 1, cast(16 + id % 16 as int))", "concat(lead, key)", 1),
+        ("substring(hexes, 1, 12)", "concat(lead, 'commit ')", 0),
+        ("concat(hexes, substring(more, 1, 8))", "concat(lead, 'commit ')", 0),
+        ("hexes", "concat(lead, 'md5: ')", 0),
+        ("concat(hexes, more)", "concat(lead, 'sha256:')", 0),
+        ("concat(hexes, substring(more, 1, 8))", "lead", 0),
+        ("hexes", "lead", 0),
+        ("concat_ws('-', substring(hexes, 1, 8), substring(hexes, 9, 4), substring(hexes, 13, 4), substring(hexes, 17, 4), substring(more, 1, 12))", "concat(lead, 'id ')", 0),
+        ("concat_ws('-', substring(hexes, 1, 8), substring(hexes, 9, 4), substring(hexes, 13, 4), substring(hexes, 17, 4), substring(more, 1, 12))", "lead", 0),
+        ("concat(word, '_settings_', year)", "lead", 0),
+        ("concat('changeme', word, year)", "concat(lead, key)", 0),
+        ("concat('your-', word, '-token-here-', id % 10)", "concat(lead, key)", 0),
+        ("concat(word, 'Manager', year, 'Factory')", "lead", 0),
+        ("concat('xxxxxxxxxxxx', id % 100)", "concat(lead, key)", 0),
+        ("substring(digits, 1, 16)", "lead", 0),
+        ("substring(digits, 1, cast(12 + id % 8 as int))", "concat(lead, 'order ')", 0),
+        ("concat('assets/', word, '/image-', year, '-large')", "concat(lead, 'https://')", 0),
+        ("substring(mixed, 1, 44)", "concat(lead, 'https://cdn.example.com/v/')", 0),
+        ("concat(year, '-08-14T10-22-', id % 60, '-', word)", "lead", 0),
+        ("substring(letters, 1, cast(14 + id % 20 as int))", "concat(lead, sign)", 1),
+        ("concat(initcap(substring(letters, 1, 7)), initcap(substring(letters, 8, 5)), initcap(substring(letters, 13, 7)), initcap(substring(letters, 20, 6)))", "concat(lead, sign)", 1),
+        ("lower(substring(letters, 1, cast(12 + id % 16 as int)))", "concat(lead, sign)", 1),
+        ("concat('AKIA', substring(upper(letters), 1, 16))", "lead", 1),
+        ("substring(mixed, 1, cast(8 + id % 16 as int))", "concat(lead, login)", 1, "'@host'"),
+        ("substring(letters, 1, cast(8 + id % 16 as int))", "concat(lead, login)", 1, "'@host'"),
+        ("substring(mixed, 1, cast(6 + id % 6 as int))", "concat(lead, sign)", 1),
+        ("substring(hexes, 1, cast(6 + id % 6 as int))", "concat(lead, sign)", 1),
+        ("prose", "lead", 0),
+        ("prose", "concat(lead, said)", 0),
+        ("brief", "concat(lead, said)", 0),
+        ("empty", "concat(lead, sign)", 0),
+        ("concat(substring(lower(letters), 1, 9), year)", "lead", 0, "'@example.com'"),
+        ("concat(word, '_client_secret')", "lead", 0, "'='"),
+        ("concat(substring(lower(letters), 1, 8), '_access_key')", "lead", 0, "' = \"'"),
+        ("lower(substring(letters, 1, cast(12 + id % 8 as int)))", "lead", 0),
+        ("concat(substring(letters, 1, cast(5 + id % 4 as int)), odd, substring(mixed, 8, cast(5 + id % 6 as int)), '!')", "concat(lead, sign)", 1),
+        ("concat(substring(mixed, 1, cast(6 + id % 4 as int)), odd, substring(lower(letters), 8, cast(5 + id % 6 as int)))", "concat(lead, sign)", 1),
+        ("upper(substring(letters, 1, cast(12 + id % 8 as int)))", "lead", 0),
+        ("initcap(substring(letters, 1, cast(12 + id % 8 as int)))", "lead", 0),
+        ("upper(prose)", "lead", 0),
+        ("brief", "concat(lead, told)", 0),
+        ("prose", "concat(lead, told)", 0),
+        ("lower(substring(letters, 1, cast(3 + id % 6 as int)))", "concat(lead, told)", 0),
+        ("concat(word, '-', substring(lower(letters), 1, 6), '-', word)", "lead", 0),
     ]
     count = len(forms)
-    cases = lambda i: " ".join(f"when {k} then {f[i]}" for k, f in enumerate(forms) if len(f) > i).replace("{N}", str(count))
+    cases = lambda i: " ".join(f"when {k} then {f[i]}" for k, f in enumerate(forms) if len(f) > i)
     path = "element_at(array('src/main', 'src7', 'config/app.yaml', 'tests/fixtures/a', 'notes', 'docs/readme.md'), cast(id div 7 % 6 + 1 as int))"
-    return spark.range(n).select(
+    # Parts first, forms of them next: one expression of both is too long to be compiled.
+    rows = spark.range(n).select("id", *(F.expr(e.replace("{N}", str(count))).alias(name) for name, e in parts.items()))
+    return checkpoint(rows).select(
         F.expr(f"case id % {count} {cases(0)} end").alias("candidate"), F.expr(f"case id % {count} {cases(1)} end").alias("before"),
         F.expr(f"case id % {count} {cases(3)} else if(id % 3 = 0, ' and more', '\" it') end").alias("after"), F.expr(path).alias("path"), F.expr(f"case id % {count} {cases(2)} end").alias("label"),
     )
 
 
-def _compiled(debug: str, names: list[str]) -> str:
-    """One tree's printed form as a CASE expression."""
-    lines = [x.strip() for x in debug.splitlines() if re.match(r"\s*(?:If|Else|Predict)", x)]
-    at = 0
+def _compiled(node, names: list[str]) -> str:
+    """A tree's node as a CASE expression; a leaf is its share of the label 1."""
+    if node.numDescendants() == 0:
+        stats = list(node.impurityStats().stats())
+        return f"{stats[1] / sum(stats)!r}D"
+    split = node.split()
+    return f"case when {names[split.featureIndex()]} <= {split.threshold()!r}D then {_compiled(node.leftChild(), names)} else {_compiled(node.rightChild(), names)} end"
+
+
+def featured(findings: DataFrame, limit: int = FINDINGS) -> DataFrame:
+    """``label, features`` of the labelled findings that train() reads."""
+    from pyspark.ml.feature import VectorAssembler
+
+    # Read once; and expressions that make findings up would else be repeated in every feature.
+    found = checkpoint(findings.where("label is not null and candidate is not null and candidate <> ''").select("candidate", "before", "after", "path", "label"))
+    known = found.select(
+        F.col("label").cast("double").alias("label"), F.expr(feature_sql("candidate", "coalesce(before, '')", "coalesce(after, '')", "coalesce(path, '')")).alias("f"), F.xxhash64("candidate", "before").alias("__h")
+    )
+    rows = known.orderBy("__h", "label").limit(limit).select("label", "f.*")
+    return checkpoint(VectorAssembler(inputCols=[n for n, _ in FEATURES], outputCol="features").transform(rows))
+
+
+def grow(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
+    """A random forest from ``label, features``."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(rows.select("label", "features").coalesce(1))
 
-    def node() -> str:
-        nonlocal at
-        line = lines[at]
-        at += 1
-        if line.startswith("Predict"):
-            return f"{float(line.split(':')[1])}D"
-        m = re.search(r"feature (\d+) <= ([-0-9.eE]+)", line)
-        yes = node()
-        at += 1  # the matching Else
-        return f"case when {names[int(m[1])]} <= {float(m[2])!r}D then {yes} else {node()} end"
 
-    return node()
+def forest_sql(forest, prefix: str = "f.") -> str:
+    """A forest's probability of the label 1, as SQL over the features' names."""
+    each = [_compiled(t._java_obj.rootNode(), [prefix + n for n, _ in FEATURES]) for t in forest.trees]
+    return "(" + " + ".join(each) + f") / {len(each)}D"
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, limit: int = FINDINGS, seed: int = 11) -> str:
     """A random forest from labelled findings, as SQL over the features' names (``f.`` before each).
 
-    The value is the share of trees that say secret. Rows without a label or a
-    candidate are ignored; nulls elsewhere count as empty. At most ``limit`` rows,
-    those with the least hashes, are read. With one label only, it is the answer.
+    The value is the mean of the trees' shares of secrets. Rows without a label or
+    a candidate are ignored; nulls elsewhere count as empty. At most ``limit`` rows,
+    those with the least hashes, are read. With one label only, it is the answer;
+    without any, nothing is a secret.
     """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    known = findings.where("label is not null and candidate is not null").select(
-        F.col("label").cast("double").alias("label"), F.expr(feature_sql("candidate", "coalesce(before, '')", "coalesce(after, '')", "coalesce(path, '')")).alias("f"), F.xxhash64("candidate", "before").alias("__h")
-    )
-    rows = known.orderBy("__h", "label").limit(limit).select("label", "f.*")
-    names = [n for n, _ in FEATURES]
+    rows = featured(findings, limit)
     labels = {r[0] for r in rows.select("label").distinct().limit(3).collect()}
     if len(labels) < 2:
         return f"{max(labels, default=0.0)}D"
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("label", "features").coalesce(1)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(data)
-    each = [_compiled(t.toDebugString, [f"f.{n}" for n in names]) for t in forest.trees]
-    return "(" + " + ".join(each) + f") / {len(each)}D"
+    return forest_sql(grow(rows, trees, depth, seed))
+
+
+#: Pieces whose places are summed up one by one; such blocks are summed up in turn.
+_STEP = 256
+
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for ``value``, worked out once. A column of that value would be
+    put in wherever it is named, and be worked out anew for each element of an array."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def _scored(docs: DataFrame, forest: str, text: str, path: str | None) -> DataFrame:
-    """Add ``__found``: an array of struct(candidate, start, before, after, score); null if there is no candidate.
 
-    Between candidates lie the pieces that the same pattern splits off, which
-    gives each one's place and neighbours without leaving the row. The text
-    before one includes the candidates before it.
+def _scored(docs: DataFrame, forest: str, text: str, path: str | None, found: str) -> DataFrame:
+    """Add a struct ``found``, null if there is no candidate: ``pieces``, the text cut into what lies between
+    candidates and the candidates, in turn; and ``each``, an array of struct(candidate, start, before, after, score).
+
+    All is done within the row, in time linear in the text: each candidate sees the
+    pieces beside it, back to the one before the last candidate but one, and takes
+    its place from running sums in blocks. Exploding an array of one keeps filters
+    on what is added from being moved before it, where all would be done twice.
     """
-    rx = _q(CANDIDATE)
-    t = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__path", F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit(""))
-    t = t.withColumn("__cands", F.expr(f"if(regexp_like(__text, {rx}), regexp_extract_all(__text, {rx}, 0), null)"))
-    t = t.withColumn("__gaps", F.expr(f"if(__cands is null, null, split(__text, {rx}, -1))"))
-    placed = f"""aggregate(sequence(0, size(__cands) - 1),
-        named_struct('at', 0L, 'tail', '', 'out', cast(array() as array<struct<c:string,s:bigint,b:string,a:string>>)),
-        (acc, i) -> named_struct(
-            'at', acc.at + length(__gaps[i]) + length(__cands[i]),
-            'tail', right(concat(acc.tail, right(__gaps[i], {CONTEXT}), right(__cands[i], {CONTEXT})), {CONTEXT}),
-            'out', concat(acc.out, array(named_struct('c', __cands[i], 's', acc.at + length(__gaps[i]), 'b', right(concat(acc.tail, right(__gaps[i], {CONTEXT})), {CONTEXT}), 'a', left(__gaps[i + 1], {CONTEXT}))))),
-        acc -> acc.out)"""
-    t = t.withColumn("__placed", F.expr(f"if(__cands is null, null, {placed})"))
-    t = t.withColumn("__feats", F.expr(f"transform(__placed, x -> named_struct('x', x, 'f', {feature_sql('x.c', 'x.b', 'x.a', '__path')}))"))
-    scored = f"transform(__feats, y -> named_struct('candidate', y.x.c, 'start', y.x.s, 'before', y.x.b, 'after', y.x.a, 'score', {forest.replace('f.', 'y.f.')}))"
-    return t.withColumn("__found", F.expr(scored))
+    own = f"coalesce(cast(`{text}` as string), '')"
+    where = f"coalesce(cast(`{path}` as string), '')" if path else "''"
+
+    def pieces(pattern: str) -> str:
+        rx = _q(pattern)
+        return f"if(regexp_like({own}, {rx}), flatten(zip_with(split({own}, {rx}, -1), regexp_extract_all({own}, {rx}, 0), (g, c) -> if(c is null, array(g), array(g, c)))), null)"
+
+    cut = f"if(regexp_like({own}, {_q(f'(?i){_WORDS}')}), {pieces(CANDIDATE)}, {pieces(PLAIN_CANDIDATE)})"
+    block = f"slice(lens, j * {_STEP} + 1, {_STEP})"
+    sums = f"transform(sequence(0, (size(lens) - 1) div {_STEP}), j -> aggregate({block}, 0L, (a, x) -> a + x))"
+    heads = f"aggregate({sums}, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)), a -> slice(a, 1, size(a) - 1))"
+    starts = f"flatten(transform({heads}, (h, j) -> aggregate({block}, array(h), (a, x) -> concat(a, array(element_at(a, -1) + x)), a -> slice(a, 1, size(a) - 1))))"
+    before = ", ".join(f"right(get(pieces, i - {k}), {CONTEXT})" for k in (5, 4, 3, 2, 1))
+    placed = f"""transform(sequence(1, size(pieces) - 2, 2), i -> named_struct(
+        'c', pieces[i], 's', starts[i], 'b', right(concat_ws('', {before}), {CONTEXT}), 'a', left(pieces[i + 1], {CONTEXT})))"""
+    feats = f"transform({placed}, x -> named_struct('x', x, 'f', {feature_sql('x.c', 'x.b', 'x.a', where)}))"
+    scored = f"transform({feats}, y -> named_struct('candidate', y.x.c, 'start', y.x.s, 'before', y.x.b, 'after', y.x.a, 'score', {forest.replace('f.', 'y.f.')}))"
+    lens = "transform(pieces, p -> cast(length(p) as bigint))"
+    both = f"named_struct('pieces', pieces, 'each', {scored})"
+    whole = _let("pieces", cut, f"if(pieces is null, null, {_let('lens', lens, _let('starts', starts, both))})")
+    return docs.select("*", F.explode(F.array(F.expr(whole))).alias(found))
 
 
 def scan(docs: DataFrame, forest: str, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """``key, start, end, candidate, score, secret``: one row per candidate; offsets are code points, ends exclusive.
 
-    Null and empty texts have none; a null path is an empty one.
+    Null and empty texts have none; a null path is an empty one. Texts are read
+    whole, however long; repeated rows give repeated results. Other columns,
+    whatever their names, are ignored.
     """
     cols = [F.col(key).alias("__key"), F.col(text).alias("text"), *([F.col(path).alias("path")] if path else [])]
-    found = _scored(docs.select(*cols), forest, "text", "path" if path else None)
-    rows = found.where("__found is not null").select("__key", F.explode("__found").alias("x"))
+    found = _scored(docs.select(*cols), forest, "text", "path" if path else None, "__found")
+    # Not a column alone, of which a filter before the explosion would be inferred.
+    rows = found.select("__key", F.explode(F.slice("__found.each", 1, 1 << 30)).alias("x"))
     end = F.col("x.start") + F.char_length("x.candidate")
     return rows.select(F.col("__key").alias(key), F.col("x.start").alias("start"), end.cast("long").alias("end"), F.col("x.candidate").alias("candidate"), F.col("x.score").alias("score"), (F.col("x.score") >= 0.5).alias("secret"))
 
 
 def redact(docs: DataFrame, forest: str, text: str = "text", path: str | None = "source", chars: str | None = "n_chars", by: str = "[secret]") -> DataFrame:
-    """The documents with each secret's characters replaced in ``text``, and ``chars`` counted anew where something was; no document goes."""
-    t = _scored(docs, forest, text, path)
-    new = f"array_join(flatten(array(transform(__found, (y, i) -> concat(__gaps[i], if(y.score >= 0.5D, {_q(by)}, y.candidate))), array(element_at(__gaps, -1)))), '')"
-    t = t.withColumn("__new", F.expr(f"if(__found is null or not exists(__found, y -> y.score >= 0.5D), null, {new})"))
-    out = {text: F.coalesce("__new", F.col(text).cast("string"))}
+    """The documents with each secret's characters replaced in ``text``, and ``chars`` counted anew where something was.
+
+    No document goes. Null and empty texts, and texts without secrets, stay as they
+    are; all columns keep their names, types and, but for these two, values.
+    """
+    found, new = fresh(docs, "__found"), fresh(docs, "__new")
+    put = f"array_join(transform(`{found}`.pieces, (p, i) -> if(i % 2 = 1 and `{found}`.each[cast(i div 2 as int)].score >= 0.5D, {_q(by)}, p)), '')"
+    t = _scored(docs, forest, text, path, found).withColumn(new, F.expr(f"if(exists(`{found}`.each, y -> y.score >= 0.5D), {put}, null)"))
+    out = {text: F.coalesce(F.col(new), F.col(text).cast("string"))}
     if chars and chars in docs.columns:
-        out[chars] = F.when(F.col("__new").isNotNull(), F.char_length("__new")).otherwise(F.col(chars)).cast(docs.schema[chars].dataType)
-    return t.withColumns(out).select(*docs.columns)
+        out[chars] = F.when(F.col(new).isNotNull(), F.char_length(new)).otherwise(F.col(chars)).cast(docs.schema[chars].dataType)
+    return t.withColumns(out).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,5 +1,11 @@
 """Secrets without digits, before an @, and short ones after a key word."""
 
+import random
+import time
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
 from strandmill.llm import secretscan
 
 SECRETS = {
@@ -12,6 +18,73 @@ SECRETS = {
 CLEAN = {11: "the international responsibilities of communication", 12: "the secret ingredient of it", 13: "mail johnsmiths1987@example.com", 14: "password=changeme"}
 
 
+ODD = {
+    21: ("x password=Tr0ub4dor&3-horse!staple. Then", "Tr0ub4dor&3-horse!staple"),
+    22: ("go to /login?token=Zk93jfKd82hfkQ&user=bob now", "Zk93jfKd82hfkQ"),
+    23: ("https://bob:ghp_" + "a8Fk3Lm2Qx" * 3 + "Zk93jf@github.com/x", "ghp_" + "a8Fk3Lm2Qx" * 3 + "Zk93jf"),
+    24: ("api_key: 'x7#Kp2$mQz'", "x7#Kp2$mQz"),
+}
+
+
+def test_values_with_signs(spark):
+    df = spark.createDataFrame([(k, v[0], "src7") for k, v in ODD.items()], "doc_id long, text string, source string")
+    found = secretscan.scan(df, secretscan.train(secretscan.sample_findings(spark))).where("secret").collect()
+    assert {(r["doc_id"], r["candidate"]) for r in found} == {(k, v[1]) for k, v in ODD.items()}
+    late = spark.createDataFrame([(1, "b" * 70 + "1234567890abcdef x", "s")], "doc_id long, text string, source string")
+    assert [r["end"] for r in secretscan.scan(late, "1.0D").collect()] == [86]
+
+
+def test_both_patterns_find_the_same_without_key_words(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["abcdefghijkl", "x=", "é", " ", "@", "Q9", ".", "-_/", "\n", "=="]) for _ in range(60)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(*(F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(n) for n, p in (("a", secretscan.CANDIDATE), ("b", secretscan.PLAIN_CANDIDATE))))
+    assert all(r["a"] == r["b"] for r in df.collect())
+
+
+def test_many_candidates_in_one_text(spark):
+    """Places, neighbours and replaced texts of ten thousand candidates, in time that grows with the text."""
+    rng = random.Random(2)
+    words = [rng.choice(["é", "the", "of"]) if rng.random() < 0.3 else f"{rng.choice(['token=', 'see ', ''])}{rng.choice('abcXYZ')}{rng.getrandbits(60):x}{i}" for i in range(10_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text, "s", 0)], "doc_id long, text string, source string, n_chars long")
+    forest = "if(f.assigned > 0, 1.0D, 0.0D)"
+    began = time.perf_counter()
+    found = secretscan.scan(df, forest).collect()
+    got = secretscan.redact(df, forest).first()
+    assert time.perf_counter() - began < 20
+    assert len(found) > 6000 and all(text[r["start"] : r["end"]] == r["candidate"] for r in found)
+    assert len({r["start"] for r in found}) == len(found)
+    assert sum(r["secret"] for r in found) == sum(w.startswith("token=") for w in words)
+    want = text
+    for r in sorted((r for r in found if r["secret"]), key=lambda r: -r["start"]):
+        want = want[: r["start"]] + "[secret]" + want[r["end"] :]
+    assert got["text"] == want and got["n_chars"] == len(want)
+
+
+def test_filters_on_the_result_do_not_repeat_the_scan(spark):
+    df = spark.createDataFrame([(1, "password=hunter2hunter2", "s")], "doc_id long, text string, source string")
+    plan = secretscan.redact(df, "1.0D").where("text like '%x%'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # one for each pattern
+
+
+def test_compiled_trees_are_the_forest(spark):
+    rows = secretscan.featured(secretscan.sample_findings(spark, 3000))
+    forest = secretscan.grow(rows)
+    names = [n for n, _ in secretscan.FEATURES]
+    x = vector_to_array("features")
+    with_f = forest.transform(rows).select("probability", F.struct(*(x[i].alias(n) for i, n in enumerate(names))).alias("f"))
+    got = with_f.select(vector_to_array("probability")[1].alias("p"), F.expr(f"transform(array(f), f -> {secretscan.forest_sql(forest)})[0]").alias("s")).collect()
+    assert len(got) == 3000 and all(abs(r["p"] - r["s"]) < 1e-9 for r in got)
+
+
+def test_redact_keeps_columns_with_its_own_names(spark):
+    df = spark.createDataFrame([(1, "password=hunter2hunter2 and", "s", "a", "b", "c")], "doc_id long, text string, source string, __text string, __found string, __new string")
+    out = secretscan.redact(df, "1.0D", chars=None)
+    assert out.columns == df.columns and out.first()[1:] == ("password=[secret] and", "s", "a", "b", "c")
+    odd = spark.createDataFrame([(None, None, None), (1, "", None), (1, "", None)], "doc_id long, text string, source string")
+    assert sorted(secretscan.redact(odd, "1.0D").collect(), key=str) == sorted(odd.collect(), key=str) and secretscan.scan(odd, "1.0D").collect() == []
+
+
 def test_candidates(spark):
     rows = [(k, v[0], "src7") for k, v in SECRETS.items()] + [(k, v, "src7") for k, v in CLEAN.items()]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
