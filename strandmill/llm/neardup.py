@@ -4,8 +4,10 @@
    class; from then on only classes are compared.
 2. A class keeps the K least hashes of its set (all, if it has no more). Two sets
    of similarity ``s`` share a binomial number of the K least hashes of their
-   union; fewer than TAU shared is as unlikely as a hash collision is rare
-   (under 1e-6 at the threshold itself, far less above it).
+   union; fewer than TAU shared has a probability under 1e-6 at the threshold
+   itself and far less above it. That is said of sets of more than K shingles;
+   smaller ones ask for no more than any similar set's sketch is sure to share
+   with them (``_guaranteed``), so that of their links none is lost.
 3. Sharing TAU of at most K values, two classes share one of each one's
    ``K - TAU + 1`` rarest. So only those go to the inverted lists, and a very
    common shingle makes no list unless nearly all of a text is common.
@@ -23,14 +25,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh
 from .shingles import shingle_set
 
 K = 48
@@ -43,6 +47,10 @@ BLOCK = 400
 KEYS = 400_000
 
 
+def _digest_of(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """``key, n, digest, sketch`` for each row; digest and sketch are null without words."""
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
@@ -53,7 +61,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             for cell in batch.column(1):
                 s = shingle_set(cell.as_py(), words)
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(_digest_of(s))
                 # Shifted so that signed order is the hashes' order.
                 sketch.append((s[:K] ^ np.uint64(1 << 63)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
@@ -77,7 +85,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
             for node, digest, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingle_set(cell.as_py(), words)
                 # A key may stand on rows with other texts.
-                if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:
+                if len(s) and _digest_of(s) == digest:
                     nodes.append(node)
                     sets.append((s ^ np.uint64(1 << 63)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
@@ -144,6 +152,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     linked with nothing or only with others of null key, whose component is null.
     Repeated rows form one class and have equal results.
     """
+    rows, of_class = _components_of_classes(docs, key, text, words, percent)
+    found = rows.where("digest is not null").join(of_class, "digest").select("key", "n", "component_id")
+    empty = rows.where("digest is null").select("key", "n", F.col("key").alias("component_id"))
+    both = found.unionByName(empty)
+    return both.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _components_of_classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``key, n, digest, sketch`` of each row, and ``digest, component_id, lead`` of each class.
+
+    ``lead`` says whether the class is the one of its component that stays: it has
+    the least key, and of classes with that key the least digest.
+    """
     rows = checkpoint(_sets(docs, key, text, words))
     grouped = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("min_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # The checkpoint fixes the numbers.
@@ -197,12 +218,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     named = labelled(classes.select("node", "min_key", "digest"))
     named = checkpoint(named.join(tops, named["comp"] == tops["__comp"], "left").select("node", "min_key", "digest", F.coalesce("__top", "comp").alias("comp")))
-    least = named.groupBy("comp").agg(F.min("min_key").alias("component_id"))
-    of_class = named.join(least, "comp").select("digest", "component_id")
-    found = rows.where("digest is not null").join(of_class, "digest").select("key", "n", "component_id")
-    empty = rows.where("digest is null").select("key", "n", F.col("key").alias("component_id"))
-    both = found.unionByName(empty)
-    return both.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    first = F.min(F.struct(F.col("min_key").isNull().alias("none"), "min_key", "digest"))
+    least = named.groupBy("comp").agg(first.alias("f"))
+    return rows, named.join(least, "comp").select("digest", F.col("f.min_key").alias("component_id"), (F.col("digest") == F.col("f.digest")).alias("lead"))
 
 
 def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -251,21 +269,29 @@ def _in_groups(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A member of which too few shingles occur with any other member can't be
     similar to one and drops out; so do groups of one component then. What is
     left outside the leader's component, near copies with unusually many edits,
-    is the query set: its blocks meet the blocks of the group. A block has a
-    bounded number of members and of shingles, and no more pairs leave a task than
-    its components need to be joined.
+    is the query set: its blocks meet the blocks of the group. A block has members
+    of one band of sizes, a bounded number of them and of shingles; only blocks of
+    the same band and of those beside it meet, as similar sets differ in size by
+    the threshold at most. No more pairs leave a task than its components need to
+    be joined.
     """
     mine = group.join(sets, "node")
     exploded = mine.select("leader", "node", F.explode("shingles").alias("value"))
     shared = exploded.groupBy("leader", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("leader", "value")
     s = exploded.join(shared, ["leader", "value"]).groupBy("leader", "node").agg(F.count(F.lit(1)).alias("s"))
     main = group.where("node = leader").select("leader", F.col("comp").alias("main"))
-    left = checkpoint(mine.select("leader", "node", "comp", F.size("shingles").alias("n")).join(s, ["leader", "node"]).where(f"100 * s >= {percent} * n").join(main, "leader").withColumn("minor", F.col("comp") != F.col("main")).drop("s", "main"))
-    size = left.groupBy("leader").agg(F.max("minor").alias("open"), F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / (BLOCK * 1000)).alias("load")).where("open").select("leader", F.ceil("load").cast("int").alias("blocks"))
-    dealt = left.join(size, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    filled = checkpoint(dealt.join(sets, "node").groupBy("leader", "block", "minor").agg(F.collect_list("comp").alias("comps"), F.collect_list("shingles").alias("sets")))
-    x = filled.where("minor").select("leader", *(F.col(c).alias(f"x{c}") for c in ("comps", "sets")))
-    pairs = x.join(filled.select("leader", "comps", "sets"), "leader").drop("leader")
+    left = mine.select("leader", "node", "comp", F.size("shingles").alias("n")).join(s, ["leader", "node"]).where(f"100 * s >= {percent} * n").join(main, "leader")
+    # A hair wider than the threshold allows, so that rounding parts no pair by two bands.
+    band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9)).cast("int")
+    left = checkpoint(left.select("leader", "node", "comp", "n", band.alias("band"), (F.col("comp") != F.col("main")).alias("minor")))
+    load = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / (BLOCK * 1000))
+    size = left.groupBy("leader", "band").agg(F.ceil(load).cast("int").alias("blocks"))
+    open_ = left.where("minor").select("leader").distinct()
+    dealt = left.join(open_, "leader").join(size, ["leader", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    filled = checkpoint(dealt.join(sets, "node").groupBy("leader", "band", "block", "minor").agg(F.collect_list("comp").alias("comps"), F.collect_list("shingles").alias("sets")))
+    near = F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band")
+    x = filled.where("minor").select("leader", near, *(F.col(c).alias(f"x{c}") for c in ("comps", "sets")))
+    pairs = x.join(filled.select("leader", "band", "comps", "sets"), ["leader", "band"]).drop("leader", "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,18 +313,34 @@ def _in_groups(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, less those that stand for a group with another row.
 
-    Of each component the rows with the least key stay; if keys repeat, or are
-    null, one row of each key and text does. A text without words stays.
+    Of each component one text stays, the one with the least key (null last; if
+    several texts have that key, the one with the least digest of its shingles),
+    and one row of it if rows repeat. Keys may repeat or be null: rows are told
+    apart by key and text. A text without words stays, on every row.
     """
-    found = near_duplicates(docs, key, text, words, percent)
-    dropped = checkpoint(found.where("not kept").select(F.col(key).alias("__gone")))
-    gone = dropped.where("__gone is not null").distinct()
-    out = docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")
-    odd = docs.select(F.col(key).cast("long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null").select("k")
-    odd = checkpoint(odd)
-    if odd.isEmpty():
-        return out
-    mark = F.broadcast(odd) if odd.count() <= 10_000 else odd
-    joined = out.join(mark.select(F.col("k").alias("__odd")), out[key].cast("long").eqNullSafe(F.col("__odd")), "left_semi")
-    plain = out.join(mark.select(F.col("k").alias("__odd")), out[key].cast("long").eqNullSafe(F.col("__odd")), "left_anti")
-    return plain.unionByName(joined.dropDuplicates([key, text]))
+    rows, of_class = _components_of_classes(docs, key, text, words, percent)
+    odd = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or key is null").select(F.col("key").alias("__odd")))
+    n_odd = odd.count()
+    lead = rows.where("digest is not null").join(of_class, "digest").select("key", "digest", (F.col("lead") & F.col("key").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = checkpoint(lead.where("not stays and key is not null").select(F.col("key").alias("__gone")).distinct())
+    own = docs[key].cast("long")
+    if not n_odd:
+        return docs.join(gone, own == gone["__gone"], "left_anti")
+    mark = F.broadcast(odd) if n_odd <= KEYS else odd
+    plain = docs.join(mark, own.eqNullSafe(mark["__odd"]), "left_anti").join(gone, own == gone["__gone"], "left_anti")
+    # What tells rows of a key apart is worked out again, for these rows only.
+    name = fresh(docs, "__digest")
+    some = docs.join(mark, own.eqNullSafe(mark["__odd"]), "left_semi").select("*", _digest(words)(docs[text].cast("string")).alias(name))
+    stay = lead.where("stays").select(F.col("key").alias("__key"), F.col("digest").alias("__d")).distinct()
+    kept = some.join(stay, some[key].cast("long").eqNullSafe(stay["__key"]) & (some[name] == stay["__d"]), "left_semi").dropDuplicates([key, name])
+    return plain.unionByName(kept.drop(name)).unionByName(some.where(some[name].isNull()).drop(name))
+
+
+def _digest(words: int):
+    """A column function: the digest of a text's shingles, null without words."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _digest_of(shingle_set(t, words)))
+
+    return run

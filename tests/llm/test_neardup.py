@@ -132,6 +132,52 @@ def test_keep_one(spark):
     assert [r[1] for r in kept.collect() if r[0] is None] == ["x y z w v u"]
 
 
+def test_keep_one_tells_rows_of_a_key_apart(spark):
+    """A key on two texts, and a copy without a key; extra columns have the names that the operator uses inside."""
+    a, other = "a b c d e f", "quite another text is this one here"
+    rows = [(1, a), (3, a), (3, other), (None, a), (4, other), (9, ""), (9, ""), (None, None)]
+    df = spark.createDataFrame([(k, t, "x", "y", "z", "q") for k, t in rows], SCHEMA + ", __odd string, __digest string").withColumn("__gone", F.lit(1)).withColumn("__key", F.lit(2))
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and kept.schema == df.schema
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted([(1, a), (3, other), (9, ""), (9, ""), (None, None)], key=str)
+
+
+def test_long_lists_in_bands_of_sizes(spark, monkeypatch):
+    """Blocks of two members, in groups whose sets differ much in size."""
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(250)]
+    base = [rng.choice(vocabulary) for _ in range(90)]
+    texts = [" ".join(edited(rng, base[: rng.choice([60, 66, 72, 78, 84, 90])], rng.randrange(8), vocabulary)) for _ in range(90)]
+    rows = list(enumerate(texts))
+    assert result(spark, rows, 2) == brute(rows, 2)
+
+
+@pytest.mark.parametrize("low", [30, 44, 58])
+def test_sizes_across_the_sketch(spark, low):
+    """Pairs of all sizes from 30 to 70 around 80 to 90 per cent, each pair with words of its own."""
+    rng, rows = random.Random(low), []
+    for a in range(low, low + 14):
+        for b in range(a, 71):
+            for share in (0.8, 0.85, 0.9):
+                # Of a + b shingles, the share of the union in common, and just less.
+                common = -(-share * (a + b) // (1 + share))
+                for c in (int(common), int(common) - 1):
+                    if 2 <= c <= a:
+                        tag = f"k{len(rows)}"
+                        same = [f"{tag}s{i}" for i in range(c + 1)]
+                        one, two = ([f"{tag}{m}{i}" for i in range(n - c)] for m, n in (("x", a), ("y", b)))
+                        rows += [(len(rows), " ".join(same + one)), (len(rows) + 1, " ".join(same + two))]
+    rng.shuffle(rows)
+    got = {r[0]: r[2] for r in result(spark, rows, 2)}
+    sets = {k: brute_set(t, 2) for k, t in rows}
+    for k in range(0, len(rows), 2):
+        common = len(sets[k] & sets[k + 1])
+        near = 100 * common >= 80 * len(sets[k] | sets[k + 1])
+        assert (got[k + 1] == k) == near, (len(sets[k]), len(sets[k + 1]), common)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["comp"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
