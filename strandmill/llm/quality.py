@@ -158,6 +158,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
 
     The sample takes the documents with the least hashes of key and pattern, half of
     them from patterns that are more likely bad, and so doesn't depend on partitioning.
+    Null and empty texts vote as good ones; rows with a null key vote but aren't
+    sampled; of rows that share a key, the one with the least pattern and features
+    is. An empty table gives a scorer that keeps all.
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +189,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=[key, "pattern", "x"])
 
     rows = _narrow(docs, key, text).join(wanted, key, "left_semi").mapInArrow(featured, f"{key} long, pattern string, x binary")
-    # Sorted, and one row of a key, so that the fit is the same whatever the partitions.
-    got = {r[0]: r for r in sorted(rows.collect(), key=lambda r: (r[0], r[1]))}
-    x = np.array([np.frombuffer(r[2], np.float32) for r in got.values()])
-    p = np.array([1 - posterior[r[1]] for r in got.values()])
+    # Sorted, and one row of a key, so that the fit is the same whatever the partitions and however many rows have it.
+    got = sorted(rows.groupBy(key).agg(F.min(F.struct("pattern", "x")).alias("r")).select(key, "r.pattern", "r.x").collect())
+    x = np.array([np.frombuffer(r[2], np.float32) for r in got])
+    p = np.array([1 - posterior[r[1]] for r in got])
     return QualityModel(labels, *fit_scorer(x, p))
 
 
@@ -211,7 +214,11 @@ def judge(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """The documents that the scorer keeps, with all their columns."""
+    """The documents that the scorer keeps, with all their columns and whatever their names.
+
+    A null or empty text is scored as empty. Each row is judged by its text alone,
+    read whole, so equal texts stay or go together.
+    """
 
     @F.pandas_udf("boolean")
     def good(texts):

@@ -1,8 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the words of a text, hashed; a text counts each bucket once. The
-machine adds to the linear weights a low-rank weight for every pair of terms,
-so that an insult beside a group's name can weigh more than the two apart.
+Terms are the words of a text and the beginnings of its longer words, hashed; a
+text counts each bucket once. The machine adds to the linear weights a low-rank
+weight for every pair of terms, so that an insult beside a group's name can weigh
+more than the two apart. No term is left out for having no effect of its own:
+penalties on the weights and on the length of each vector decide.
 """
 
 from __future__ import annotations
@@ -24,17 +26,26 @@ SAMPLE = 12_000
 #: Length of a term's vector.
 RANK = 4
 _WORD = re.compile(r"[^\W\d_]+")
-#: A training term must occur in so many training documents.
-MIN_DOCS = 8
+#: A training term must occur in so many training documents; one of a single document can't be told from chance.
+MIN_DOCS = 2
+#: Letters of a word's beginning.
+STEM = 5
+#: Penalties: on a weight's size, and on a vector's length.
+SPARSE_W, SPARSE_V = 4e-3, 4e-3
 
 
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
+def word_terms(word: str) -> tuple[str, ...]:
+    """A lower-cased word, and its beginning under a mark of its own if it is longer."""
+    return (word, f"^{word[:STEM]}") if len(word) > STEM else (word,)
+
+
 def terms(text: str) -> list[str]:
-    """Distinct lower-cased words of letters, in order of their spelling."""
-    return sorted(set(_WORD.findall(text.lower())))
+    """Distinct terms of the lower-cased words of letters, in order of their spelling."""
+    return sorted({t for w in set(_WORD.findall(text.lower())) for t in word_terms(w)})
 
 
 @dataclass(frozen=True)
@@ -59,64 +70,56 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit_machine(docs: list[np.ndarray], y: np.ndarray, rank: int = RANK, rounds: int = 30, seed: int = 7) -> Machine:
-    """Adam on the logistic loss, both labels of equal weight in all.
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values (or of each column) by their places."""
+    if values.ndim == 1:
+        return np.bincount(at, values, n)
+    return np.stack([np.bincount(at, column, n) for column in values.T], 1)
+
+
+def fit_machine(docs: list[np.ndarray], y: np.ndarray, rank: int = RANK, rounds: int = 12, rate: float = 0.06, seed: int = 7) -> Machine:
+    """Adaptive gradient steps on the logistic loss, both labels of equal weight in all.
 
     ``docs`` are the sorted distinct buckets of each text. Buckets in fewer than
-    MIN_DOCS texts are left out. Without both labels the score is the majority's.
+    MIN_DOCS texts are left out. After each step a weight shrinks by its penalty,
+    to zero at most, and so does a vector as a whole: what the labels don't ask
+    for goes. Without both labels the score is the majority's.
     """
     if not len(docs) or y.min() == y.max():
         return Machine(0.0 if not len(docs) else (4.0 if y[0] else -4.0), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
-    df = np.bincount(np.concatenate(docs), minlength=BUCKETS)
-    ids = np.flatnonzero(df >= MIN_DOCS)
-    # Terms as frequent in both labels carry nothing and would only add noise of pairs.
+    ids = np.flatnonzero(np.bincount(np.concatenate(docs), minlength=BUCKETS) >= MIN_DOCS)
     place = np.full(BUCKETS, -1)
     place[ids] = np.arange(len(ids))
-    rows = [place[d] for d in docs]
-    rows = [r[r >= 0] for r in rows]
-    pos = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), minlength=len(ids))
-    neg = df[ids] - pos
-    p, q = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((1 - y).sum() + 1)
-    z = (p - q) / np.sqrt(p * (1 - p) / (y.sum() + 1) + q * (1 - q) / ((1 - y).sum() + 1) + 1e-12)
-    keep = np.flatnonzero(np.abs(z) > 3)
-    if not len(keep):
-        return Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
-    again = np.full(len(ids), -1)
-    again[keep] = np.arange(len(keep))
-    rows = [again[r] for r in rows]
-    rows = [r[r >= 0] for r in rows]
-    ids = ids[keep]
+    rows = [r[r >= 0] for r in (place[d] for d in docs)]
     rng = np.random.default_rng(seed)
-    b, w, v = np.zeros(1), np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), rank))
-    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (b, w, v)]
+    b, w, v = 0.0, np.zeros(len(ids)), rng.normal(0, 0.03, (len(ids), rank))
+    #: sums of squared gradients
+    seen_b, seen_w, seen_v = 1e-8, np.full(len(ids), 1e-8), np.full(len(ids), 1e-8)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
-    step = 0
-    for epoch in range(rounds):
-        rate = 0.05 * 0.9**epoch
+    for _ in range(rounds):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 256):
             batch = order[at : at + 256]
-            lens = np.array([len(rows[i]) for i in batch])
             flat = np.concatenate([rows[i] for i in batch])
-            of = np.repeat(np.arange(len(batch)), lens)
-            s = np.zeros((len(batch), rank))
-            np.add.at(s, of, v[flat])
-            sq, lin = np.zeros(len(batch)), np.zeros(len(batch))
-            np.add.at(sq, of, (v[flat] ** 2).sum(1))
-            np.add.at(lin, of, w[flat])
-            z = b[0] + lin + 0.5 * ((s * s).sum(1) - sq)
+            of = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
+            own = v[flat]
+            s = _sums(of, own, len(batch))
+            z = b + _sums(of, w[flat], len(batch)) + 0.5 * ((s * s).sum(1) - _sums(of, (own * own).sum(1), len(batch)))
             err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[batch]) * weight[batch] / len(batch)
-            gw, gv = np.zeros_like(w), np.zeros_like(v)
-            np.add.at(gw, flat, err[of])
-            np.add.at(gv, flat, err[of][:, None] * (s[of] - v[flat]))
-            step += 1
-            for x, g, (m1, m2) in zip((b, w, v), (np.array([err.sum()]), gw + 1e-3 * w / len(ids), gv + 1e-2 * v / len(ids)), moments, strict=True):
-                m1 *= 0.9
-                m1 += 0.1 * g
-                m2 *= 0.999
-                m2 += 0.001 * g * g
-                x -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return Machine(float(b[0]), ids.astype(np.int64), w, v)
+            used, slot = np.unique(flat, return_inverse=True)
+            gw, gv = _sums(slot, err[of], len(used)), _sums(slot, err[of][:, None] * (s[of] - own), len(used))
+            seen_b += err.sum() ** 2
+            b -= rate * err.sum() / np.sqrt(seen_b)
+            seen_w[used] += gw * gw
+            step = rate / np.sqrt(seen_w[used])
+            moved = w[used] - step * gw
+            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * SPARSE_W, 0)
+            seen_v[used] += (gv * gv).mean(1)
+            step = 0.4 * rate / np.sqrt(seen_v[used])
+            moved = v[used] - step[:, None] * gv
+            v[used] = moved * np.maximum(1 - step * SPARSE_V / np.maximum(np.sqrt((moved * moved).sum(1)), 1e-12), 0)[:, None]
+    kept = np.flatnonzero((w != 0) | (v != 0).any(1))
+    return Machine(float(b), ids[kept].astype(np.int64), w[kept], v[kept])
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -130,6 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Taken are the rows with the least hashes of their id, up to half of them
     toxic, whatever the partitions; only these texts are tokenised. A document
     with several labels counts as toxic if any says so; null labels don't count.
+    Of rows that share an id, the one with the least terms in byte order counts.
+    Null and empty texts have no terms; without labelled rows every score is 0.5.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).cast("long").alias("k")).agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64("k", F.lit(3))
@@ -144,29 +149,34 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(xs, pa.binary())], names=["k", "y", "x"])
 
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(wanted, "k").select("k", "y", "text")
-    got = {r[0]: r for r in sorted(source.mapInArrow(run, "k long, y int, x binary").collect())}
-    return fit_machine([np.frombuffer(r[2], np.int32) for r in got.values()], np.array([float(r[1]) for r in got.values()]))
+    # One row of an id, the same whatever the partitions, however many rows have it.
+    one = source.mapInArrow(run, "k long, y int, x binary").groupBy("k", "y").agg(F.min("x").alias("x"))
+    got = sorted(one.collect())
+    return fit_machine([np.frombuffer(r[2], np.int32) for r in got], np.array([float(r[1]) for r in got]))
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, held_out, score, predicted``, one row per input row; a null text is scored as an empty one."""
+    """``key, held_out, score, predicted``, one row per input row.
+
+    A null text is scored as an empty one, which has the bias alone. Texts are
+    read whole, one at a time; repeated rows and equal texts have equal scores.
+    """
     source = docs.select(F.col(key).cast("long").alias(key), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = machine.index()
         for batch in batches:
-            known: dict[str, int] = {}  # a word's place; bounded below
+            known: dict[str, tuple[int, ...]] = {}  # a word's places; bounded below
             out = []
             for cell in batch.column(2):
-                places = set()
+                places: set[int] = set()
                 for word in set(_WORD.findall((cell.as_py() or "").lower())):
                     at = known.get(word)
                     if at is None:
-                        if len(known) > 500_000:
+                        if len(known) > 200_000:
                             known.clear()
-                        at = known[word] = index.get(bucket(word), -1)
-                    if at >= 0:
-                        places.add(at)
+                        at = known[word] = tuple(i for t in word_terms(word) if (i := index.get(bucket(t), -1)) >= 0)
+                    places.update(at)
                 out.append(machine.score(sorted(places)))
             s = pa.array(out, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s, pa.array([int(x >= 0.5) for x in out], pa.int32())], names=[key, "held_out", "score", "predicted"])

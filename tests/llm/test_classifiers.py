@@ -1,6 +1,7 @@
 """Label model, scorer, factorization machine and forest: recovery, held-out accuracy, odd rows."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -65,6 +66,63 @@ def test_machine_learns_a_pair():
     assert z(1, 2) - z() > (z(1) - z()) + (z(2) - z()) + 0.5  # more than the two apart
 
 
+def test_machine_learns_a_pair_without_effect_of_its_own():
+    """Either term is as frequent under both labels; only the two together are toxic."""
+    rng = np.random.default_rng(4)
+    docs, y = [], []
+    for _ in range(3000):
+        toxic, r = rng.random() < 0.3, rng.random() < 0.5
+        extra = ({1, 2} if r else set()) if toxic else ({1} if r else {2})
+        docs.append(np.array(sorted({*rng.integers(100, 900, 30).tolist(), *extra})))
+        y.append(float(toxic and r))
+    both = np.array([{1, 2} <= set(d.tolist()) for d in docs])
+    one = np.array([len({1, 2} & set(d.tolist())) == 1 for d in docs])
+    keep = both | one
+    y = np.array(y)
+    m = toxicity.fit_machine([d for d, k in zip(docs[:2000], keep) if k], y[:2000][keep[:2000]])
+    at = m.index()
+    p = np.array([m.score([at[i] for i in d if i in at]) for d in docs[2000:]])
+    assert (p[both[2000:]] > 0.5).mean() > 0.98 and (p[one[2000:]] < 0.5).mean() > 0.98
+
+
+def test_one_id_on_many_rows(spark):
+    """A row of an id reaches the driver, whatever the number of rows that have it."""
+    docs = spark.range(3000).select(F.when(F.col("id") < 2900, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 50, F.lit(" BAD!! | x"), F.col("id") % 3).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
+    assert all(np.isfinite(toxicity.fit(docs, labels).w)) and toxicity.score(docs, toxicity.fit(docs, labels)).count() == 3000
+    assert quality.judge(docs, quality.fit(docs)).count() == 3000
+
+
+def test_quality_by_brute_force(spark):
+    """Votes, posterior and score worked out anew, one character trigram at a time."""
+    rng = random.Random(3)
+    texts = [None, "", "a b", "SHOUT NOW!! " * 9, "x | y | z | w", "go go go go go", *(" ".join("".join(rng.choice("abcé#*") for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(1, 60))) for _ in range(40))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    model = quality.fit(df)
+    for r in quality.judge(df, model).collect():
+        t = texts[r["doc_id"] % len(texts)] or ""
+        words = t.split()
+        n = len(words)
+        k = n + 12
+        plain = sum(w.isalpha() for w in re.sub("[.,;:?]", " ", t).split())
+        loops = (len(set(zip(words, words[1:]))) + 13) / k if n else 1.0
+        shares = [sum(c in "*#%&$~^" for c in t) / k, sum(w.isupper() for w in words) / k, t.count("|") / k, sum(a == b for a, b in zip(words, words[1:])) / k, t.count("!") / k, loops, (plain + 12) / k]
+        hits = [shares[0] >= 0.15, shares[1] >= 0.35, shares[2] >= 0.1, shares[3] >= 0.15, shares[4] >= 0.2, shares[5] <= 0.6, shares[6] <= 0.72]
+        assert r["votes"] == "".join("b" if h else "-" for h in hits)
+        good, bad = 1 - model.labels.prior_bad, model.labels.prior_bad
+        for h, (hit, false) in zip(hits, model.labels.accuracy, strict=True):
+            bad, good = bad * (hit if h else 1 - hit), good * (false if h else 1 - false)
+        assert abs(r["posterior_bad"] - bad / (bad + good)) < 1e-9
+        raw, z = t.encode(), model.bias
+        for i in range(len(raw) - 2):
+            code = (raw[i] * 0x9E3779B1 & 0xFFFFFFFF) ^ (raw[i + 1] * 0x85EBCA77 & 0xFFFFFFFF) ^ (raw[i + 2] * 0xC2B2AE3D & 0xFFFFFFFF)
+            z += model.weights[code >> 21] * 20 / (len(raw) - 2)
+        for i, s in enumerate(shares):
+            z += model.weights[(i * 131 + min(int(min(max(s, 0), 1) ** 0.5 * 12), 11) * 29 + 7) * 2654435761 % quality.BUCKETS]
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-5
+        assert r["keep"] == (r["score"] >= 0.5)
+
+
 def test_machine_by_brute_force():
     rng = np.random.default_rng(3)
     m = toxicity.Machine(0.3, np.arange(6), rng.normal(size=6), rng.normal(size=(6, 4)))
