@@ -19,15 +19,21 @@ SELECT page_id, host, path, rule, CASE {verdicts} WHEN canonical IN (SELECT cano
 """
 
 
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
 def _shingles(source: str, key: str) -> str:
-    """key, distinct 5-word shingles of lower-cased runs of letters and digits; of fewer words, the whole sequence."""
-    return f"""(SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN ['#' || array_to_string(w, ' ')] ELSE [] END) AS s
-  FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {source}))"""
+    """key, distinct 5-word shingles of lower-cased runs of letters and digits; of fewer words, none."""
+    return f"""(SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [] END) AS s
+  FROM (SELECT {key}, {_WORDS} AS w FROM {source}))"""
 
 
+#: Items of fewer than five words are in every document that has these words in a row.
 LEAKS = f"""
-WITH d AS {_shingles("documents", "doc_id")}, i AS {_shingles("benchmark", "item_id")}, n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1)
+WITH d AS {_shingles("documents", "doc_id")}, i AS {_shingles("benchmark", "item_id")}, n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1),
+few AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS run FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND 4)
 SELECT doc_id, item_id, n_item, n_shared FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY 1, 2) JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+UNION ALL SELECT doc_id, item_id, 1, 1 FROM (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS whole FROM documents WHERE EXISTS (SELECT * FROM few)) JOIN few ON contains(whole, run)
 """
 
 NEAR_DUPLICATES = """

@@ -13,9 +13,9 @@ def tokens(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
-def shingles(text):
+def shingles(text, width=5):
     w = tokens(text)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({("#", *w)} if w else set())
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
 
 
 def test_leaks_by_brute_force(spark, monkeypatch):
@@ -35,14 +35,16 @@ def test_leaks_by_brute_force(spark, monkeypatch):
     docs += [(500, None), (501, ""), (502, "w1 w2"), (None, items[2][1]), (7, items[3][1]), (3, docs[3][1]), (900, " ".join([word() for _ in range(60_000)] + tokens(items[1][1])))]
     want = {}
     for k, t in docs:
-        have = shingles(t)
+        have = {n: shingles(t, n) for n in range(1, 6)}
         for i, u in items:
-            s = shingles(u)
-            if s and 100 * len(s & have) >= 80 * len(s):
-                want[k, i] = max(want.get((k, i), (0, 0, 0)), (len(s & have) / len(s), len(s), len(s & have)))
+            width = min(5, len(tokens(u)))
+            s = shingles(u, width) if width else set()
+            n = len(s & have[width]) if s else 0
+            if s and 100 * n >= 80 * len(s):
+                want[k, i] = max(want.get((k, i), (0, 0, 0)), (n / len(s), len(s), n))
     d = spark.createDataFrame([(k, t, "x", "y") for k, t in docs], SCHEMA)
     b = spark.createDataFrame(items, "item_id long, text string")
-    for bound in (100_000, 1):
+    for bound in (100_000, 60, 1):
         monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
         got = {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_shared"]) for r in decontaminate.leaks(d, b).collect()}
         assert got == {k: v[1:] for k, v in want.items()}
