@@ -2,8 +2,9 @@
 
 The list becomes a blocked Bloom filter, a table with one 512-bit row for each
 block. A URL that the filter passes is joined with the list itself, which
-removes the false positives. Filter and list are broadcast only if their counted
-rows stay below a bound, and are shuffled for the join beyond it.
+removes the false positives. Filter and list are broadcast only if their bytes,
+counted first, stay below a bound, and are shuffled for the join beyond it. The
+pages are read once.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_side
+from .common import ascii_lower, checkpoint
 
 #: (host and path, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Bits of the filter for each listed URL.
 BITS_PER_URL = 16
 _WORDS = 8
+#: Bytes of a filter or of a list that are broadcast at most.
+BROADCAST_BYTES = 16 << 20
+#: Rows that take part in no match are spread over so many keys of their own.
+_SPREAD = 1 << 12
 
 
 def host(url: Column) -> Column:
@@ -66,23 +71,32 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...
 
     ``listed`` has a string column ``canonical``; repeats, nulls and empty ones
     are ignored. A rule's verdict goes before the list's (block if listed, else
-    allow). A null URL has empty parts and is allowed.
+    allow). A null URL has empty parts and is allowed. Repeated rows have equal
+    results; URLs are read whole; other columns, whatever their names, are ignored.
     """
-    known = listed.where("canonical is not null and canonical <> ''").select("canonical").distinct()
-    n = known.count()
-    blocks = max(1, -(-n * BITS_PER_URL // 512))
+    known = checkpoint(listed.where("canonical is not null and canonical <> ''").select("canonical").distinct())
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("canonical") + 64), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] * BITS_PER_URL // 512))
+
+    def side(df: DataFrame, bytes_: int) -> DataFrame:
+        return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
+
     u = F.col(url).cast("string")
     split = pages.select(F.col(key).alias(key), host(u).alias("host"), path(u).alias("path"))
     split = split.select("*", rule(F.col("host"), F.col("path"), rules).alias("rule"), canonical(F.col("host"), F.col("path")).alias("canonical"))
-    split = split.withColumn("__block", F.pmod(F.xxhash64("canonical", F.lit(1)), F.lit(blocks)))
-    probed = split.join(small_side(bloom(known, blocks), blocks), "__block", "left")
+    # Pages without a host are many and listed never: they go to keys below 0, which no block has.
+    own, none = F.pmod(F.xxhash64("canonical", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64(key), F.lit(_SPREAD))
+    split = split.withColumn("__block", F.when(F.col("canonical") == "", -1 - none).otherwise(own))
+    probed = split.join(side(bloom(known, blocks), blocks * (8 * _WORDS + 64)), "__block", "left")
     hit = F.lit(True)
     for i, p in enumerate(_places(F.col("canonical"))):
         hit = hit & (F.col(f"__w{i}").bitwiseAND(_bit(p)) != 0)
-    probed = probed.withColumn("__maybe", F.coalesce(hit, F.lit(False))).select(*split.columns, "__maybe").drop("__block")
-    exact = small_side(known.select(F.col("canonical").alias("__known")), n)
-    possible = probed.where("__maybe").join(exact, F.col("canonical") == F.col("__known"), "left").withColumn("listed", F.col("__known").isNotNull()).drop("__known")
-    out = possible.unionByName(probed.where("not __maybe").withColumn("listed", F.lit(False))).drop("__maybe")
+    probed = probed.select(key, "host", "path", "rule", "canonical", F.coalesce(hit, F.lit(False)).alias("__maybe"))
+    # What the filter stops meets nothing, under a key that only spreads it.
+    probed = probed.withColumn("__key", F.when(F.col("__maybe"), F.col("canonical")).otherwise(F.concat(F.lit("\0"), none.cast("string"))))
+    exact = side(known.select(F.col("canonical").alias("__known")), size["bytes"])
+    joined = probed.join(exact, F.col("__maybe") & (F.col("__key") == F.col("__known")), "left")
+    out = joined.withColumn("listed", F.col("__known").isNotNull())
     verdict = F.when(F.col("listed"), "block").otherwise("allow")
     for text, v in rules:
         verdict = F.when(F.col("rule") == text, v).otherwise(verdict)
@@ -90,6 +104,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...
 
 
 def referral_list(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Canonical URLs of pages that carry a referral mark (a ``ref`` parameter) in any of their spellings."""
+    """Canonical URLs of pages that carry a referral mark (a ``ref`` parameter) in any of their spellings.
+
+    ``canonical``, each once; null and empty URLs carry none, and one without a
+    host gives the empty string, which judge() ignores.
+    """
     u = F.col(url).cast("string")
     return pages.where(F.regexp_like(u, F.lit(r"[?&]ref="))).select(canonical(host(u), path(u)).alias("canonical")).distinct()

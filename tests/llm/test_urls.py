@@ -40,9 +40,7 @@ def test_verdicts(spark, monkeypatch, bits):
 
 
 def test_large_list_is_joined_without_broadcast(spark, monkeypatch):
-    from strandmill.llm import common
-
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 1)
     df = spark.createDataFrame([(i, f"http://h.com/{i}", "", "") for i in range(300)], SCHEMA)
     listed = spark.createDataFrame([(f"h.com/{i}",) for i in range(0, 300, 3)] * 2 + [(None,), ("",)], "canonical string")
     assert {r["page_id"] for r in urls.judge(df, listed).where("verdict = 'block'").collect()} == set(range(0, 300, 3))
@@ -53,3 +51,11 @@ def test_empty_tables(spark):
     assert urls.judge(df, urls.referral_list(df)).collect() == []
     some = spark.createDataFrame([(1, "http://a.com/", "", "")], SCHEMA)
     assert urls.judge(some, urls.referral_list(df)).first()["verdict"] == "allow"
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(i, f"http://h.com/{i}", "", "") for i in range(50)], SCHEMA).write.parquet(str(tmp_path / "p"))
+    listed = spark.createDataFrame([("h.com/3",)], "canonical string")
+    out = urls.judge(spark.read.parquet(str(tmp_path / "p")), listed)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert [r["page_id"] for r in out.where("listed").collect()] == [3]
