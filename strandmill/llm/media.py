@@ -39,6 +39,11 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 
     Bitmaps give 0 (black) and 1 (white). Malformed or short data raise ValueError.
     """
+    return _netpbm(data)[0]
+
+
+def _netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """The image and the sample value that stands for white."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not a Netpbm image")
@@ -56,22 +61,22 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raw = np.frombuffer(data, np.uint8, -1, at + 1)
         if raw.size < row * h:
             raise ValueError("short Netpbm raster")
-        return 1 - np.unpackbits(raw[: row * h].reshape(h, row), axis=1)[:, :w]
+        return 1 - np.unpackbits(raw[: row * h].reshape(h, row), axis=1)[:, :w], 1
     if kind == b"P1":
         bits = re.sub(rb"#[^\r\n]*|\s", b"", data[at:])[:n]
         if len(bits) < n:
             raise ValueError("short Netpbm raster")
-        return (1 - (np.frombuffer(bits, np.uint8) - 48)).astype(np.uint8).reshape(shape)
+        return (1 - (np.frombuffer(bits, np.uint8) - 48)).astype(np.uint8).reshape(shape), 1
     depth = np.dtype(np.uint8 if top < 256 else ">u2")
     if kind in (b"P2", b"P3"):
         values = re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n]
         if len(values) < n:
             raise ValueError("short Netpbm raster")
-        return np.array([int(v) for v in values], np.uint8 if top < 256 else np.uint16).reshape(shape)
+        return np.array([int(v) for v in values], np.uint8 if top < 256 else np.uint16).reshape(shape), top
     if len(data) - at - 1 < n * depth.itemsize:
         raise ValueError("short Netpbm raster")
     out = np.frombuffer(data, depth, n, at + 1).reshape(shape)
-    return out if top < 256 else out.astype(np.uint16)
+    return (out if top < 256 else out.astype(np.uint16)), top
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -107,7 +112,12 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    return decode_with_white(data)[0]
+
+
+def decode_with_white(data: bytes) -> tuple[np.ndarray, int]:
+    """The image and the sample value that stands for white: a Netpbm image's maxval, 1 of a bitmap, 255 of a BMP."""
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else _netpbm(data)
 
 
 def encode_grey(payload: bytes, width: int = WIDTH) -> bytes:
@@ -115,20 +125,47 @@ def encode_grey(payload: bytes, width: int = WIDTH) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, len(payload) // width) + payload
 
 
+#: Samples of the rows whose integral image is in memory at once.
+_STRIP = 1 << 20
+
+
+def _integral_rows(image: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The integral image at the wanted rows (sorted, each once), as float64, from strips of the image."""
+    rows, cols = image.shape[:2]
+    out = np.zeros((len(wanted), cols + 1, *image.shape[2:]))
+    before = np.zeros((cols + 1, *image.shape[2:]))
+    step = max(1, _STRIP // max(1, image[:1].size))
+    for a in range(0, rows, step):
+        strip = image[a : a + step]
+        total = np.zeros((len(strip) + 1, cols + 1, *image.shape[2:]))
+        np.cumsum(strip, axis=0, out=total[1:, 1:], dtype=np.float64)
+        np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
+        total += before
+        here = np.flatnonzero((wanted >= a) & (wanted <= a + len(strip)))
+        out[here] = total[wanted[here] - a]
+        before = total[-1].copy()
+    return out
+
+
 def area_resize(image: np.ndarray, h: int, w: int) -> np.ndarray:
     """Mean over each target cell's exact area, from the integral image, as float64."""
     rows, cols = image.shape[:2]
-    total = np.zeros((rows + 1, cols + 1, *image.shape[2:]))
-    np.cumsum(image, axis=0, out=total[1:, 1:], dtype=np.float64)
-    np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
 
-    def at(edges: np.ndarray, values: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), len(values) - 2)
-        part = (edges - low).reshape(-1, *[1] * (values.ndim - 1))
-        return np.diff(values[low] * (1 - part) + values[low + 1] * part, axis=0)
-
-    down = at(np.arange(h + 1) * (rows / h), total)
-    across = at(np.arange(w + 1) * (cols / w), down.swapaxes(0, 1)).swapaxes(0, 1)
+    def ends(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.arange(n + 1) * (size / n)
+        low = np.minimum(edges.astype(np.int64), size - 1)
+        return low, edges - low
+
+    def between(low: np.ndarray, high: np.ndarray, part: np.ndarray) -> np.ndarray:
+        part = part.reshape(-1, *[1] * (low.ndim - 1))
+        return np.diff(low * (1 - part) + high * part, axis=0)
+
+    low, part = ends(h, rows)
+    wanted = np.unique(np.concatenate((low, low + 1)))
+    total = _integral_rows(image, wanted)
+    down = between(total[np.searchsorted(wanted, low)], total[np.searchsorted(wanted, low + 1)], part).swapaxes(0, 1)
+    low, part = ends(w, cols)
+    across = between(down[low], down[low + 1], part).swapaxes(0, 1)
     return across / (rows * cols / (h * w))
 
 
@@ -142,11 +179,13 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(cells[:, :-1] < cells[:, 1:]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, h: int, w: int) -> bytes:
-    """The resized image as the bytes of an NPY file of 8-bit samples."""
-    tile = area_resize(image, h, w)
-    if tile.max(initial=0) > 255:
-        tile = tile / 257
+def npy_tile(image: np.ndarray, h: int, w: int, white: int | None = None) -> bytes:
+    """The resized image as the bytes of an NPY file of 8-bit samples, of which 255 is ``white``.
+
+    Without ``white`` it is the greatest value of the image's type. What the samples
+    are doesn't count: a dark image stays dark.
+    """
+    tile = area_resize(image, h, w) * (255 / (white or np.iinfo(image.dtype).max))
     out = io.BytesIO()
     np.lib.format.write_array(out, np.clip(np.rint(tile), 0, 255).astype(np.uint8), version=(1, 0))
     return out.getvalue()
@@ -159,7 +198,8 @@ def media_tiles(df: DataFrame, key: str = "id", media: str = "media", size: int
     """Decode ``media`` and return one row per input row: ``key`` and ``TILE_SCHEMA``.
 
     A null or undecodable image gives null fields and its ``error``; other columns
-    are ignored. Images are handled one at a time, so memory is one image's.
+    are ignored, whatever their names; repeated rows have equal results. Images are
+    handled one at a time, so memory is one image's.
     """
     source = df.select(F.col(key).alias("id"), F.col(media).cast("binary").alias("media"))
 
@@ -171,8 +211,8 @@ def media_tiles(df: DataFrame, key: str = "id", media: str = "media", size: int
                     data = data.as_py()
                     if data is None:
                         raise ValueError("no image")
-                    image = decode(data)
-                    rows.append((*image.shape[:2], 1 if image.ndim == 2 else 3, npy_tile(image, size, size), difference_hash(image), None))
+                    image, white = decode_with_white(data)
+                    rows.append((*image.shape[:2], 1 if image.ndim == 2 else 3, npy_tile(image, size, size, white), difference_hash(image), None))
                 except (ValueError, struct.error) as e:
                     rows.append((None, None, None, None, None, str(e)))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())

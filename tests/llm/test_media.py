@@ -110,3 +110,22 @@ def test_text_payloads(spark):
         assert r["feature"] == media.difference_hash(np.frombuffer(padded, np.uint8).reshape(-1, 64))
     assert out[3].asDict() | {"doc_id": 6} == out[6].asDict()
     assert media.text_media(df.limit(0)).collect() == []
+
+
+def test_tiles_keep_their_brightness():
+    """A tile's grey is the image's share of white, whatever its depth and values."""
+    tile = lambda data: np.load(io.BytesIO(media.npy_tile(*(lambda i, w: (i, 4, 4, w))(*media.decode_with_white(data)))))
+    for value, white in ((250, 65535), (260, 65535), (40000, 65535), (60, 100), (1, 1), (200, 255)):
+        form = "<u1" if white < 256 else ">u2"
+        data = b"P5\n8 8\n%d\n" % white + np.full((8, 8), value, form).tobytes()
+        assert (tile(data) == round(value * 255 / white)).all()
+    assert (tile(b"P1\n8 8\n" + b"0 " * 64) == 255).all() and (tile(b"P1\n8 8\n" + b"1 " * 64) == 0).all()
+
+
+def test_resize_in_strips(monkeypatch):
+    image = rng.integers(0, 256, (57, 13, 3)).astype(np.uint8)
+    whole = media.area_resize(image, 8, 9)
+    monkeypatch.setattr(media, "_STRIP", 100)
+    assert np.allclose(media.area_resize(image, 8, 9), whole, rtol=0, atol=1e-9)
+    fine = np.repeat(np.repeat(image, 8, 0), 9, 1).reshape(8, 57, 9, 13, 3).mean((1, 3))
+    assert np.allclose(whole, fine)
