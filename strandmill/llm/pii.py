@@ -110,7 +110,8 @@ _DOT_WORD = "(?:dot|punkt|point|punto)"
 _BRACKET = r"[(\[{<]\s*(?:%s)\s*[)\]}>]"
 _AT_IN = r"\s*" + _BRACKET % "at|arroba|@|ät" + r"\s*"
 _DOT_IN = r"\s*" + _BRACKET % r"dot|punkt|point|punto|\." + r"\s*"
-_BARE_AT = rf"(?<=[A-Za-z0-9_%+-])\s+(?:at|arroba)\s+(?=[A-Za-z0-9-]+(?:(?:\s+{_DOT_WORD}\s+|{_DOT_IN})[A-Za-z0-9-]+)+)"
+#: A bare word counts only before a domain with a disguised dot: "at example.com" alone is plain prose.
+_BARE_AT = rf"(?<=[A-Za-z0-9_%+-])\s+(?:at|arroba)\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+{_DOT_WORD}\s+|{_DOT_IN})[A-Za-z0-9-]+)"
 _AT = re.compile(rf"{_AT_IN}|{_BARE_AT}", re.I)
 _BARE_DOT = rf"(?<=[A-Za-z0-9])\s+{_DOT_WORD}\s+(?=[A-Za-z0-9])"
 _DOT = re.compile(rf"{_DOT_IN}|{_BARE_DOT}", re.I)
@@ -199,8 +200,8 @@ def signs(t: Mapped) -> Mapped:
     if not any(w in lower for w in ("dot", "punkt", "point", "punto", "at)", "at]", "at}", "at>", "@)", "@]", "arroba", "at ", "ät")) or not _DISGUISE.search(t.text):
         return t
     t = t.rewrite(_AT, lambda _: "@")
-    # Bare words for a dot count after an at sign, in the same name, or between digits.
-    spots = re.compile(rf"@[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+|{_DOT_IN})[A-Za-z0-9-]+)+|[0-9]+(?:(?:\.|\s+{_DOT_WORD}\s+|{_DOT_IN})[0-9]+){{3}}|[A-Za-z0-9]+(?:{_DOT_IN}[A-Za-z0-9]+)+(?=@)", re.I)
+    # Bare words for a dot count in the names on either side of an at sign, or between digits.
+    spots = re.compile(rf"@[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+|{_DOT_IN})[A-Za-z0-9-]+)+|[0-9]+(?:(?:\.|\s+{_DOT_WORD}\s+|{_DOT_IN})[0-9]+){{3}}|(?<![A-Za-z0-9.])[A-Za-z0-9]++(?:(?:\.|\s+(?:dot|punkt|punto)\s+|{_DOT_IN})[A-Za-z0-9]++)++(?=@)", re.I)
     return t.rewrite_within(spots, _DOT, lambda _: ".")
 
 
@@ -250,7 +251,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per span: ``key, kind, start, end, value`` (source characters) and whether it was disguised."""
+    """One row per span: ``key, kind, start, end, value`` (source characters) and whether it was disguised.
+
+    Null and empty texts have none; repeated rows give repeated spans; texts are
+    read whole; other columns, whatever their names, are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import pytest
@@ -77,3 +78,18 @@ def test_scan_and_identifiers(spark):
     found = pii.identifiers(df).where("doc_id = 3").distinct().collect()
     assert {(r["kind"], r["value"], r["disguised"]) for r in found} == {("email", "a@b.cd", False), ("email", "a (at) b.cd", True), ("ip", "1.2.3.4", False)}
     assert pii.scan(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("mail john dot smith at example dot com now", "john dot smith at example dot com"), ("john at mail.example dot com", "john at mail.example dot com"), ("at this point john at example dot com", "john at example dot com"),
+    ("j.smith at example punkt de", "j.smith at example punkt de"), ("look at example.com there", None),
+])
+def test_mixed_disguises(text, want):
+    base, added = pii.find(text)
+    assert not base and [text[s:e] for s, _, e in added] == ([want] if want else [])
+
+
+def test_long_dotted_chains_take_linear_time():
+    began = time.perf_counter()
+    pii.find("x (dot) y " + "a.b1." * 60_000)
+    assert time.perf_counter() - began < 10
