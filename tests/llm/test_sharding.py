@@ -50,6 +50,32 @@ def test_equal_texts_stay_together(spark):
     assert all(len(p) == 1 for p in places.values())
 
 
+def test_leaves_by_a_plain_tree(spark):
+    """Against exact weighted medians along the widest dimension: no cut is off by more than the tolerance and one row."""
+    rng = random.Random(5)
+    points = [(i, rng.gauss(0, 1) * 3, rng.random(), rng.choice([0.0, 0.25, 0.5]), rng.randrange(1, 400)) for i in range(4000)]
+    df = spark.createDataFrame([(i, a, b, c, w, i * 2654435761 % (1 << 40)) for i, a, b, c, w in points], "id long, a double, b double, c double, w long, g long")
+    got = {r["id"]: r["leaf"] for r in sharding.kd_leaves(df, ["a", "b", "c"], "w", "g", "id", leaves=8).collect()}
+    most = max(p[4] for p in points)
+
+    def check_node(rows, first, leaves):
+        if leaves == 1:
+            assert {got[r[0]] for r in rows} == {first}
+            return
+        spans = [max(r[d] for r in rows) - min(r[d] for r in rows) for d in (1, 2, 3)]
+        wide = spans.index(max(spans)) + 1
+        left = [r for r in rows if got[r[0]] < first + leaves // 2]
+        right = [r for r in rows if got[r[0]] >= first + leaves // 2]
+        total = sum(r[4] for r in rows)
+        step = (max(p[wide] for p in points) - min(p[wide] for p in points)) / (1 << 24)
+        assert max(r[wide] for r in left) <= min(r[wide] for r in right) + 2 * step
+        assert abs(sum(r[4] for r in left) - total * (leaves // 2) / leaves) <= 0.0025 * total * 2.5 + most
+        check_node(left, first, leaves // 2)
+        check_node(right, first + leaves // 2, leaves - leaves // 2)
+
+    check_node(points, 0, 8)
+
+
 def test_target_and_any_count(spark):
     rows = [(i, "x" * 99) for i in range(500)]
     out = shards(spark, rows, shards=None, target_bytes=7000)
