@@ -21,6 +21,8 @@ def align(query: Column | str, target: Column | str, max_distance: int = NO_MATC
     if distance_metric in ("hm", "hamming"):
         return _HAMMING[boundary](query, target, max_distance, free)
     if distance_metric in ("lv", "levenshtein"):
+        if boundary == "global" and not free:
+            return reads.levenshtein_global(query, target, max_distance)
         return vectorised.edit_distance(query, target, max_distance, free, boundary)
     raise ValueError("distance_metric must be one of lv, levenshtein, hm, hamming")
 

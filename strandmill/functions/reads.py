@@ -155,6 +155,13 @@ def hamming_contains(query: Column | str, target: Column | str, max_distance: in
     return F.when(F.length(q) > F.length(t), _none()).when(F.length(q) == 0, align_result(F.lit(0), F.lit(0), F.lit(0))).otherwise(fits)
 
 
+def levenshtein_global(query: Column | str, target: Column | str, max_distance: int = NO_MATCH_DISTANCE) -> Column:
+    """The edit distance of the whole strings, by the built-in function; an empty target matches nothing, and a null counts as empty."""
+    q, t = (F.coalesce(_col(c), F.lit("")) for c in (query, target))
+    d = F.levenshtein(q, t)
+    return F.when((F.length(t) > 0) & (d <= max_distance), align_result(F.lit(0), F.length(t) - 1, d)).otherwise(_none())
+
+
 def overlap_native(seq1: Column | str, seq2: Column | str, min_overlap: int, max_rate: float, n_mismatches: bool) -> Column:
     """Longest L for which the last L bases of one agree with the first L of the other, else 0.
 

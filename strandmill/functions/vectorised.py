@@ -68,7 +68,8 @@ def consensus(s1: bytes, q1: bytes, s2: bytes, q2: bytes, n: int, mode: str, ove
 
 
 def _latin(c: pd.Series) -> list[bytes]:
-    return [x.encode("latin-1") for x in c]
+    """Bytes of each text; a null is an empty one."""
+    return [b"" if x is None else x.encode("latin-1") for x in c]
 
 
 def _within(texts: list[bytes], pattern: bytes, max_distance: int) -> np.ndarray:
@@ -200,7 +201,7 @@ def edit_align(query: str, target: str, max_distance: int, ambiguity: str, bound
 def edit_distance(query: Column | str, target: Column | str, max_distance: int, ambiguity: str, boundary: str) -> Column:
     @F.pandas_udf("start int, end int, distance int")
     def run(q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        found = [edit_align(a, b, max_distance, ambiguity, boundary) for a, b in zip(q, t, strict=True)]
+        found = [edit_align(a or "", b or "", max_distance, ambiguity, boundary) for a, b in zip(q, t, strict=True)]
         return pd.DataFrame(found, columns=["start", "end", "distance"]).astype("int32")
 
     return run(query, target)

@@ -34,9 +34,14 @@ def count_barcodes(df: DataFrame, barcodes: list[str], max_distance: int = 1, al
     return t.groupBy(label.alias("barcode")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def _upper(seq: Column) -> Column:
+    """a-z in upper case and nothing else, so that the length stays."""
+    return F.translate(seq, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def admitted(df: DataFrame, mate: str, phred33: bool = True) -> DataFrame:
     """``seq`` in upper case and ``qual`` of the mate's reads that a summary counts: not empty, and of one length."""
-    return df.select(F.upper(F.col(mate)["seq"]).alias("seq"), F.col(mate)["qual"].alias("qual")).where("length(seq) > 0 and length(seq) = length(qual)")
+    return df.select(_upper(F.col(mate)["seq"]).alias("seq"), F.col(mate)["qual"].alias("qual")).where("length(seq) > 0 and length(seq) = length(qual)")
 
 
 def basic_stats(seqs: DataFrame) -> DataFrame:
@@ -71,7 +76,7 @@ def insert_sizes(df: DataFrame, min_overlap: int = 12, max_mismatch_rate: float
     if min_overlap < 1:
         raise ValueError("min_overlap must be >= 1")
     a, b = F.col("read1.seq"), F.col("read2.seq")
-    pairs = df.where((F.length(a) > 0) & (F.length(b) > 0)).select(F.upper(a).alias("a"), R.reverse_complement(F.upper(b)).alias("b"))
+    pairs = df.where((F.length(a) > 0) & (F.length(b) > 0)).select(_upper(a).alias("a"), R.reverse_complement(_upper(b)).alias("b"))
     found = pairs.select((F.length("a") + F.length("b")).alias("n"), vectorised.overlap("a", "b", min_overlap, max_mismatch_rate, False).alias("overlap"))
     return found.where("overlap > 0").groupBy((F.col("n") - F.col("overlap")).cast("int").alias("insert_size")).agg(F.count(F.lit(1)).alias("count"))
 

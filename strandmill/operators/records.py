@@ -64,7 +64,7 @@ def chunk(df: DataFrame, chunk_size: int, output_prefix: list[str], output_suffi
     """Route record i to ``prefix_chunk<i div size>`` with the suffix of the format."""
     from ..sources.container import SUFFIX
 
-    ending = (SUFFIXES | {SUFFIX[1:]: SUFFIX})[output_suffix]
+    ending = (SUFFIXES | {"container": SUFFIX})[output_suffix.removeprefix(".") if output_suffix != SUFFIX else "container"]
     return route(df, [F.concat(F.lit(f"{p}_chunk"), chunk_of(chunk_size).cast("string"), F.lit(ending)) for p in output_prefix])
 
 

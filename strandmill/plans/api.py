@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..operators import aggregates, kernels, records
-from ..sources import datasource, fifo, generate, memory, text
+from ..sources import container, datasource, fifo, generate, memory, text
 
 
 def _list(x: str | list[str]) -> list[str]:
@@ -21,7 +21,7 @@ def _list(x: str | list[str]) -> list[str]:
 
 
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of one file a mate; warns of inputs with more reads than the shortest."""
+    """Records of one file a mate; what longer inputs have more is dropped (``report_excess`` names them)."""
     paths = _list(paths)
     if not paths:
         raise ValueError("at least one input is required")
@@ -54,19 +54,12 @@ def write_routed(routed: DataFrame, config: RunConfig | None = None) -> None:
 
 
 def _to_memory(key: str, rows: DataFrame) -> None:
-    """Store rows under consecutive indices: a row's place in its sorted partition after the rows of the partitions before."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "read_index", "ord").sortWithinPartitions("read_index", "ord").withColumn("__id", F.monotonically_increasing_id()).persist()
+    """Store rows under consecutive indices, in the order of index and ord."""
+    ordered, kept = memory.gapless(rows, ("read_index", "ord"))
     try:
-        part, start, starts = F.shiftright("__id", 33), 0, []
-        for r in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # a row a partition
-            starts += [F.lit(r["p"]), F.lit(start)]
-            start += r["n"]
-        index = F.element_at(F.create_map(*starts), part) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) if starts else F.lit(0).cast("long")
-        memory.put(key, ordered.select(index.cast("long").alias("read_index"), F.struct("name", "seq", "qual").alias("read1")))
+        memory.put(key, ordered.select("read_index", F.struct("name", "seq", "qual").alias("read1")))
     finally:
-        ordered.unpersist()
+        kept.unpersist()
 
 
 def write(df: DataFrame, outputs: str | list[str], config: RunConfig | None = None) -> None:
@@ -77,6 +70,8 @@ def write(df: DataFrame, outputs: str | list[str], config: RunConfig | None = No
 def _io(spark: SparkSession, inputs: str | list[str], outputs: str | list[str]) -> DataFrame:
     if len(_list(inputs)) != len(_list(outputs)):
         raise ValueError("input and output must have the same length")
+    if len(_list(inputs)) > 1 and not any(text.kind(i) == "fifo" for i in _list(inputs)):
+        report_excess(spark, inputs)
     return read(spark, inputs)
 
 
@@ -145,8 +140,26 @@ def concat(spark: SparkSession, input: list[str], output: str, nthreads: int = 1
         raise ValueError("concat requires at least one input file")
     whole = records.concat([read(spark, p) for p in _list(input)])
     write(whole, output, config)
-    if text.kind(output) == "plain" and not os.path.exists(output):
-        open(output, "wb").close()
+    _make_if_missing(spark, output, config or RunConfig.current())
+
+
+def _make_if_missing(spark: SparkSession, output: str, config: RunConfig) -> None:
+    """An output without reads, in the form of its suffix."""
+    form = text.kind(output)
+    if form == "memory":
+        memory.put(output, spark.createDataFrame([], "read_index long, read1 struct<name:string,seq:string,qual:string>"))
+    elif form != "fifo" and not os.path.exists(path := text.normalised(output)):
+        with open(path, "wb") as f:
+            f.write(container.HEADER if form == "container" else b"".join(text.compress(iter(()), form, config.gzip_level, config.zstd_level)))
+
+
+def _once(routed: DataFrame) -> DataFrame:
+    """Rows of a kernel, which is called once for each block: checkpointed if the session has a folder, else kept."""
+    if routed.sparkSession.sparkContext.getCheckpointDir():
+        return routed.checkpoint()
+    kept = routed.persist()
+    kept.count()
+    return kept
 
 
 def run_kernel(spark: SparkSession, input, kernel, limit: int | None = None, nthreads: int = 1, mode: str = "blocks", config: RunConfig | None = None) -> None:
@@ -154,13 +167,13 @@ def run_kernel(spark: SparkSession, input, kernel, limit: int | None = None, nth
     config = config or RunConfig.current(limit=limit)
     if config.limit == 0:
         return
-    routed = kernels.run_blocks(read(spark, input), kernel, config, mode)
+    routed = _once(kernels.run_blocks(read(spark, input), kernel, config, mode))
     write_routed(routed.withColumn("output", F.when(F.endswith("output", F.lit(".mem")) | F.startswith("output", F.lit("/")), F.col("output")).otherwise(F.concat(F.lit(os.getcwd() + "/"), "output"))), config)
 
 
 def run_record_kernel(spark: SparkSession, input, kernel, limit: int | None = None, config: RunConfig | None = None) -> None:
     config = config or RunConfig.current(limit=limit)
-    write_routed(kernels.run_records(read(spark, input), kernel, config), config)
+    write_routed(_once(kernels.run_records(read(spark, input), kernel, config)), config)
 
 
 def generate_random(spark: SparkSession, output: str | list[str], n_reads: int = 100_000, read_length: int = 100, name_prefix: str = "read_", seed: int = 1) -> None:

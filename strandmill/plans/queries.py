@@ -273,88 +273,59 @@ def summary_insert_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.summary(pairs(spark, sf_dir))["insert_size"]
 
 
-_SHORT = ", a AS (SELECT read_index, substr(r1.seq, 1, 5) AS query, substr(r2.seq, 1, 9) AS target FROM r1 JOIN r2 USING (read_index)) "
+_WHOLE = ", a AS (SELECT read_index, r1.seq AS query, r2.seq AS target FROM r1 JOIN r2 USING (read_index)) "
+_BARCODE = f", a AS (SELECT read_index, CASE read_index % 3 {' '.join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(INDEX_BARCODES))} END AS query, seq AS target FROM r2) "
 
 
 def _align(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    t = pairs(spark, sf_dir).select("read_index", F.expr("substr(read1.seq, 1, 5)").alias("query"), F.expr(f"substr(read2.seq, 1, {5 if how['boundary'] == 'global' and how['distance_metric'] == 'hm' else 9})").alias("target"))
-    return t.select("read_index", alignment.align("query", "target", **how).alias("a"))
+    """All 32 bases of read1 with all of read2; for Hamming ``contains``, a whole barcode with all of read2."""
+    inside = how["boundary"] == "contains" and how["distance_metric"] == "hm"
+    query = F.element_at(F.array(*map(F.lit, INDEX_BARCODES)), (F.col("read_index") % len(INDEX_BARCODES) + 1).cast("int")) if inside else F.col("read1.seq")
+    t = pairs(spark, sf_dir).select("read_index", query.alias("query"), F.col("read2.seq").alias("target"))
+    return t.select("read_index", alignment.align("query", "target", **how).alias("a")).select("read_index", "a.*")
 
 
-def _hm(d: str, start: str, most: int) -> str:
-    return f"SELECT read_index, (CASE WHEN {d} <= {most} THEN {start} ELSE 0 END)::INT AS start, (CASE WHEN {d} <= {most} THEN {start} + 4 ELSE 0 END)::INT AS \"end\", (CASE WHEN {d} <= {most} THEN {d} ELSE 2147483647 END)::INT AS distance FROM b"
+def _hm_sql(n: int, most: int, windows: int = 1) -> str:
+    wrong = f"len(list_filter(range(1, {n + 1}), lambda k: substr(query, k::INT, 1) <> substr(target, (i + k)::INT, 1)))"
+    best = f", b AS (SELECT read_index, min({wrong} * 100 + i) AS x FROM a, range(0, {windows}) t(i) GROUP BY 1)"
+    return best + f""" SELECT read_index, (CASE WHEN x // 100 <= {most} THEN x % 100 ELSE 0 END)::INT AS start,
+    (CASE WHEN x // 100 <= {most} THEN x % 100 + {n - 1} ELSE 0 END)::INT AS "end", (CASE WHEN x // 100 <= {most} THEN x // 100 ELSE 2147483647 END)::INT AS distance FROM b"""
 
 
-_WRONG = "len(list_filter(range(1, 6), lambda k: substr(query, k::INT, 1) <> substr(target, ({at} + k)::INT, 1)))"
+def _lv_sql(spans: str) -> str:
+    """The least distance, of its spans the one with the least end, then the least start."""
+    return f""", b AS (SELECT read_index, min(levenshtein(query, substr(target, i::INT, (j - i + 1)::INT)) * 10000 + j * 100 + i) AS x FROM a, {spans} GROUP BY 1)
+    SELECT read_index, (x % 100 - 1)::INT AS start, (x // 100 % 100 - 1)::INT AS "end", (x // 10000)::INT AS distance FROM b"""
 
 
-@_query(_SHORT + f", b AS (SELECT read_index, {_WRONG.format(at=0)} AS d FROM a) " + _hm("d", "0", 2))
+@_query(_WHOLE + _hm_sql(32, 24))
 def align_hm_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align(spark, sf_dir, max_distance=2, boundary="starts", distance_metric="hm").select("read_index", "a.*")
+    return _align(spark, sf_dir, max_distance=24, boundary="starts", distance_metric="hm")
 
 
-@_query(_SHORT + f", w AS (SELECT read_index, i, {_WRONG.format(at='i')} AS d FROM a, range(0, 5) t(i)), b AS (SELECT read_index, min(d) AS d, arg_min(i, d * 100 + i) AS i FROM w GROUP BY 1) " + _hm("d", "i", 1))
+@_query(_BARCODE + _hm_sql(5, 1, 28))
 def align_hm_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align(spark, sf_dir, max_distance=1, boundary="contains", distance_metric="hm").select("read_index", "a.*")
+    return _align(spark, sf_dir, max_distance=1, boundary="contains", distance_metric="hm")
 
 
-@_query(_SHORT + f", b AS (SELECT read_index, {_WRONG.format(at=0)} AS d FROM a) " + _hm("d", "0", 3))
+@_query(_WHOLE + _hm_sql(32, 24))
 def align_hm_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align(spark, sf_dir, max_distance=3, boundary="global", distance_metric="hm").select("read_index", "a.*")
+    return _align(spark, sf_dir, max_distance=24, boundary="global", distance_metric="hm")
 
 
-@_query(_SHORT + "SELECT read_index, min(levenshtein(query, substr(target, 1, j::INT)))::INT AS distance FROM a, range(1, 10) t(j) GROUP BY 1")
+@_query(_WHOLE + _lv_sql("range(1, 2) t(i), range(1, 33) u(j)"))
 def align_lv_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align(spark, sf_dir, boundary="starts", distance_metric="lv").select("read_index", "a.distance")
+    return _align(spark, sf_dir, boundary="starts", distance_metric="lv")
 
 
-@_query(_SHORT + "SELECT read_index, min(levenshtein(query, substr(target, i::INT, n::INT)))::INT AS distance FROM a, range(1, 10) t(i), range(1, 10) u(n) GROUP BY 1")
+@_query(_WHOLE + _lv_sql("(SELECT i, j FROM range(1, 33) t(i), range(1, 33) u(j) WHERE i <= j)"))
 def align_lv_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align(spark, sf_dir, boundary="contains", distance_metric="lv").select("read_index", "a.distance")
+    return _align(spark, sf_dir, boundary="contains", distance_metric="lv")
 
 
-@_query(_SHORT + "SELECT read_index, levenshtein(query, target)::INT AS distance FROM a")
+@_query(_WHOLE + _lv_sql("range(1, 2) t(i), range(32, 33) u(j)"))
 def align_lv_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align(spark, sf_dir, boundary="global", distance_metric="lv").select("read_index", "a.distance")
-
-
-def _align_whole(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    """All 32 bases of read1 with all of read2; for Hamming ``contains``, a whole barcode with all of read2."""
-    inside = how["boundary"] == "contains" and how["distance_metric"] == "hm"
-    query = F.element_at(F.array(*map(F.lit, INDEX_BARCODES)), (F.col("read_index") % len(INDEX_BARCODES) + 1).cast("int")) if inside else F.col("read1.seq")
-    t = pairs(spark, sf_dir).select("read_index", query.alias("query"), F.col("read2.seq").alias("target"))
-    return t.select("read_index", alignment.align("query", "target", **how).alias("a")).select("read_index", "a.*")
-
-
-# Without SQL: the tests compare them with brute force.
-@_query(None)
-def align_hm_starts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align_whole(spark, sf_dir, max_distance=24, boundary="starts", distance_metric="hm")
-
-
-@_query(None)
-def align_hm_contains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align_whole(spark, sf_dir, max_distance=1, boundary="contains", distance_metric="hm")
-
-
-@_query(None)
-def align_hm_global_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align_whole(spark, sf_dir, max_distance=24, boundary="global", distance_metric="hm")
-
-
-@_query(None)
-def align_lv_starts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align_whole(spark, sf_dir, boundary="starts", distance_metric="lv")
-
-
-@_query(None)
-def align_lv_contains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align_whole(spark, sf_dir, boundary="contains", distance_metric="lv")
-
-
-@_query(None)
-def align_lv_global_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _align_whole(spark, sf_dir, boundary="global", distance_metric="lv")
+    return _align(spark, sf_dir, boundary="global", distance_metric="lv")
 
 
 @_query("SELECT 'even.fastq' AS output, read_index, 0 AS ord, name, seq, qual FROM r1 WHERE read_index % 2 = 0")

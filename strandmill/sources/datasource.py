@@ -8,6 +8,7 @@ newline count, so that every split knows its first record and its index.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import shutil
@@ -152,6 +153,22 @@ class ReadsWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         made: list[tuple[str, int, int, str]] = []
+        try:
+            self._write(batches, made)
+        except BaseException:
+            self._remove(made)
+            raise
+        return Written(made)
+
+    def _remove(self, parts: list[tuple[str, int, int, str]]) -> None:
+        """A failed task's parts, and their folders once these are empty."""
+        for output, _, _, path in parts:
+            with contextlib.suppress(OSError):
+                os.remove(path)
+            with contextlib.suppress(OSError):
+                os.rmdir(self._folder(output))
+
+    def _write(self, batches: Iterator[pa.RecordBatch], made: list[tuple[str, int, int, str]]) -> None:
         rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("output", "read_index", "ord", "name", "seq", "qual")), strict=True))
         pending = next(rows, None)
         latin = lambda r: tuple((x or "").encode("latin-1") for x in r[3:])
@@ -159,6 +176,7 @@ class ReadsWriter(DataSourceArrowWriter):
             output, index, order = pending[:3]
             os.makedirs(folder := self._folder(output), exist_ok=True)
             path = os.path.join(folder, uuid.uuid4().hex)
+            made.append((output, index, order, path))
 
             def same() -> Iterator[tuple[bytes, bytes, bytes]]:
                 nonlocal pending
@@ -169,8 +187,6 @@ class ReadsWriter(DataSourceArrowWriter):
             with open(path, "wb") as f:
                 for chunk in self._encoded(output, same()):
                     f.write(chunk)
-            made.append((output, index, order, path))
-        return Written(made)
 
     def commit(self, messages: list[Written | None]) -> None:
         parts = sorted(p for m in messages if m for p in m.parts)
@@ -192,8 +208,9 @@ class ReadsWriter(DataSourceArrowWriter):
                 shutil.rmtree(self._folder(output), ignore_errors=True)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for folder in {self._folder(p[0]) for m in messages if m for p in m.parts}:
-            shutil.rmtree(folder, ignore_errors=True)
+        for m in messages:
+            if m:
+                self._remove(m.parts)
 
 
 class ReadsSource(DataSource):

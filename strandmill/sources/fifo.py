@@ -81,6 +81,12 @@ class Pipe:
             self._parts.append(data)
             self._more.notify()
 
+    def abandon(self) -> None:
+        """Write no more; the reader sees the end. A pipe that nobody has opened stays with its thread."""
+        with self._more:
+            self._parts, self._closed = [], True
+            self._more.notify()
+
     def close(self) -> None:
         """Wait until all is written."""
         with self._more:
@@ -94,13 +100,12 @@ class Pipe:
 def write_routed(routed: DataFrame) -> None:
     """Stream routed rows, in order, to the pipes that are their outputs."""
     pipes: dict[str, Pipe] = {}
-    done = False
     try:
         for row in routed.orderBy("read_index", "ord").toLocalIterator(prefetchPartitions=True):
             pipe = pipes.get(row["output"]) or pipes.setdefault(row["output"], Pipe(row["output"]))
             pipe.write(next(text.encode([tuple(row[c].encode("latin-1") for c in ("name", "seq", "qual"))])))
-        done = True
+        for p in pipes.values():
+            p.close()
     finally:
-        if done:
-            for p in pipes.values():
-                p.close()
+        for p in pipes.values():
+            p.abandon()

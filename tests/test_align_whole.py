@@ -27,7 +27,7 @@ def edit(q, t, boundary):
 def test_whole_reads(spark, boundary):
     seqs = {r[0]: (r[1], r[2]) for r in queries.pairs(spark, SF).where("read_index < 300").selectExpr("read_index", "read1.seq", "read2.seq").collect()}
     assert seqs and all(len(s) == 32 for pair in seqs.values() for s in pair)
-    got = {m: {r["read_index"]: r for r in queries.QUERIES[f"align_{m}_{boundary}_whole"](spark, SF).where("read_index < 300").collect()} for m in ("hm", "lv")}
+    got = {m: {r["read_index"]: r for r in queries.QUERIES[f"align_{m}_{boundary}"](spark, SF).where("read_index < 300").collect()} for m in ("hm", "lv")}
     assert set(got["hm"]) == set(got["lv"]) == set(seqs)
     for k, (q, t) in seqs.items():
         r = got["hm"][k]

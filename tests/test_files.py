@@ -283,3 +283,71 @@ def test_running_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("running_counts").collect()] == [(30, 50, 1500)]
+
+
+def test_memory_indices_stay_gapless(spark):
+    from strandmill.sources import memory
+
+    some = spark.range(40).selectExpr("id as read_index", "named_struct('name', cast(id as string), 'seq', 'A', 'qual', 'I') as read1")
+    try:
+        for part in (some.where("read_index in (7, 9)"), some.where("read_index < 10"), some.where("read_index > 37")):
+            memory.put("gaps.mem", part)
+        got = memory.read(spark, "gaps.mem").selectExpr("read_index", "read1.name").orderBy("read_index").collect()
+        assert [r[0] for r in got] == list(range(14)) and [r[1] for r in got] == ["7", "9", *map(str, range(10)), "38", "39"]
+    finally:
+        memory.remove("gaps.mem")
+
+
+@pytest.mark.parametrize("suffix", ["fastq", "fastq.gz", "fastq.zst", C[1:], "mem"])
+def test_concat_of_nothing_makes_an_output(spark, tmp_path, suffix):
+    empty = tmp_path / "empty.fastq"
+    empty.write_bytes(b"")
+    out = f"nothing.{suffix}" if suffix == "mem" else str(tmp_path / f"out.{suffix}")
+    api.concat(spark, [str(empty), str(empty)], out)
+    assert api.read(spark, out).count() == 0
+    api.mem_remove("nothing.mem")
+
+
+def test_a_kernel_is_called_once_for_a_block(spark, tmp_path):
+    reads = "".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(30))
+    (tmp_path / "in.fastq").write_text(reads)
+    calls = tmp_path / "calls"
+
+    def kernel(reads, index):
+        with open(calls, "a") as f:
+            f.write(f"{index[0]}\n")
+        return {str(tmp_path / "out.fastq"): reads["read1"]}
+
+    from strandmill.config import RunConfig
+
+    api.run_kernel(spark, str(tmp_path / "in.fastq"), kernel, config=RunConfig(blocksize=10))
+    assert sorted(calls.read_text().split()) == ["0", "10", "20"]
+    assert (tmp_path / "out.fastq").read_text() == reads
+
+
+def test_a_failed_task_leaves_no_part(spark, tmp_path):
+    bad = spark.range(20).selectExpr(f"'{tmp_path}/out.fastq' as output", "id as read_index", "0 as ord", "'n' as name", "if(id = 13, '☃', 'A') as seq", "'I' as qual")
+    with pytest.raises(Exception, match="latin"):
+        api.write_routed(bad)
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_excess_reads_are_reported(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 5)):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(n)))
+    with pytest.warns(UserWarning, match="detected excess reads from inputs: 1"):
+        api.convert(spark, [str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq")], [str(tmp_path / "c.fastq"), str(tmp_path / "d.fastq")])
+
+
+def test_nulls_count_as_empty(spark):
+    from strandmill.functions import alignment
+    from strandmill.operators import aggregates
+
+    df = spark.createDataFrame([(0, (None, None, None)), (1, ("n", "ACGT", "IIII"))], "read_index long, read1 struct<name:string,seq:string,qual:string>")
+    for d in (0, 1):
+        assert {r["barcode"]: r["count"] for r in aggregates.count_barcodes(df, ["ACG"], d).collect()} == {"NO_MATCH": 1, "ACG": 1}
+    pairs = spark.createDataFrame([("A", None), (None, "A"), ("kitten", "sitting"), ("", "abc"), ("abc", "")], "q string, t string")
+    for boundary in ("global", "starts", "contains"):
+        got = [tuple(r) for r in pairs.select(alignment.align("q", "t", boundary=boundary).alias("a")).select("a.*").collect()]
+        assert got[0] == got[4] == (0, 0, 2147483647)
+        assert got[2] == ((0, 6, 3) if boundary == "global" else got[2]) and got[3] == ((0, 2, 3) if boundary == "global" else (0, 0, 2147483647))
