@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows stay below this.
 BROADCAST_ROWS = 100_000
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on batches to Python workers have BATCH_BYTES, unless the session names a size: rows alone, ten thousand
+    by default, bound neither the JVM's buffers nor the worker's. A longer row has a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == str((1 << 31) - 1):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until the frame has no such column."""
     taken = {c.lower() for c in df.columns}

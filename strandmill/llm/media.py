@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_in_arrow
+
 WIDTH = 64
 _TOKEN = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([^\s#]+)")
 
@@ -219,7 +221,7 @@ def media_tiles(df: DataFrame, key: str = "id", media: str = "media", size: int
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[key, "height", "width", "channels", "tile", "dhash", "error"])
 
-    return source.mapInArrow(run, f"{key} {source.schema['id'].dataType.simpleString()}, {TILE_SCHEMA}")
+    return map_in_arrow(source, run, f"{key} {source.schema['id'].dataType.simpleString()}, {TILE_SCHEMA}")
 
 
 def text_media(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 32) -> DataFrame:
@@ -251,4 +253,4 @@ def text_media(docs: DataFrame, text: str = "text", key: str = "doc_id", size: i
             names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_bytes", "tile_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_in_arrow(source, run, schema)

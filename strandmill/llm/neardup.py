@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh
+from .common import bound_batches, checkpoint, fresh, map_in_arrow
 from .shingles import shingle_set
 
 K = 48
@@ -68,7 +68,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["key", "n", "digest", "sketch"]
             )
 
-    return source.mapInArrow(run, "key long, n long, digest binary, sketch array<long>")
+    return map_in_arrow(source, run, "key long, n long, digest binary, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -90,7 +90,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
                     sets.append((s ^ np.uint64(1 << 63)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return joined.mapInArrow(run, "node long, shingles array<long>")
+    return map_in_arrow(joined, run, "node long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def _in_groups(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     few = pairs.repartition(max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return few.mapInArrow(run, "a long, b long").distinct()
+    return map_in_arrow(few, run, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -330,6 +330,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     plain = docs.join(mark, own.eqNullSafe(mark["__odd"]), "left_anti").join(gone, own == gone["__gone"], "left_anti")
     # What tells rows of a key apart is worked out again, for these rows only.
     name = fresh(docs, "__digest")
+    bound_batches(docs.sparkSession)
     some = docs.join(mark, own.eqNullSafe(mark["__odd"]), "left_semi").select("*", _digest(words)(docs[text].cast("string")).alias(name))
     stay = lead.where("stays").select(F.col("key").alias("__key"), F.col("digest").alias("__d")).distinct()
     kept = some.join(stay, some[key].cast("long").eqNullSafe(stay["__key"]) & (some[name] == stay["__d"]), "left_semi").dropDuplicates([key, name])

@@ -11,7 +11,9 @@ map each piece to its sequence and offset.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, gapless_rank
+from .common import checkpoint, gapless_rank, map_in_arrow
 
 CAPACITY = 4096
 END_ID = 1
-#: Words that a Python worker keeps ids of, in each of two generations.
-_CACHE = 800_000
+#: Words that a Python worker keeps ids of, in each of two generations: some 25 MB each, 40 at most.
+CACHE = 150_000
+#: Longer words aren't kept.
+_KEPT = 64
+#: Characters of text that are tokenised at once.
+_BLOCK = 1 << 18
 _encoders: dict[str, WordCache] = {}
 
 
@@ -34,9 +40,55 @@ _encoders: dict[str, WordCache] = {}
 _BYTE_SIGNS = {b: 256 + 33 + i for i, b in enumerate([0x7F, *range(0x80, 0xA1), 0xAD])}
 
 
-def _latin(word: str) -> bool:
-    """Whether a word is in Latin-1, whose letters have one form and one small letter."""
-    return word.isascii() or max(word) <= "\xff"
+#: Where a text can be cut without parting a token: at a blank, after a letter before most signs, between a digit and another sign.
+_CUT = re.compile(r"[ \t\n\r\f\v]|(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[0-9])(?=[0-9A-Za-z])")
+
+
+#: Signs of which a run is one pretoken; an apostrophe may belong to the letters after it.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Words(dict):
+    """Ids of words, as bytes; one that isn't there is learnt when it is asked for."""
+
+    __slots__ = ("ends", "model", "old", "tokenizer")
+
+    def __init__(self, tokenizer, old: dict[str, bytes]):
+        super().__init__()
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model.tokenize, old
+        self.ends = {c: self.encode(c) for c in ".,"}
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word) or self._learn(word)
+        if len(word) <= _KEPT:
+            self[word] = ids
+        return ids
+
+    def _learn(self, word: str) -> bytes:
+        stem, end = word, b""
+        if not word.isalpha():
+            # Signs after letters are a token of their own, and case doesn't count.
+            stem, end = word[:-1], self.ends.get(word[-1])
+            if end is None or not stem.isalpha():
+                stem = word.rstrip(_SIGNS)
+                if len(stem) == len(word) or not stem.isalpha():
+                    return self.encode(word)
+                end = self[word[len(stem) :]]
+        if stem.isascii():
+            letters = stem = stem.lower()
+        elif max(stem) <= "\xff":
+            # Letters of Latin-1 have one form and one small letter; the model takes their bytes' signs.
+            stem = stem.lower()
+            letters = stem.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        else:
+            return self.encode(word)
+        if stem is not word and (known := self.get(stem) or self.old.get(stem)):
+            return known + end
+        # A word of small letters is one pretoken already: straight to the model.
+        return array("I", [t.id for t in self.model(letters)]).tobytes() + end
 
 
 class WordCache:
@@ -44,57 +96,39 @@ class WordCache:
 
     The tokenizer splits at white space before all else, so a text's ids are
     those of its blank-separated words in a row. Words' ids are kept as bytes in
-    two generations, the older of which is dropped when the younger is full.
+    two generations, the older of which is dropped when the younger is full. A
+    word has at most _KEPT characters, longer ones are tokenised again each time,
+    so a number of words bounds the bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, missing: set[str]) -> None:
-        young, old, model, other = self.young, self.old, self.tokenizer.model.tokenize, []
-        ends = {c: young.get(c) or self._encode([c])[0] for c in ".,"}
-        for w in missing:
-            known = old.get(w)
-            if known is None:
-                # A single point or comma after a letter is a token of its own, and case doesn't count.
-                stem, end = (w[:-1], ends[w[-1]]) if w[-1] in ends and w[-2:-1].isalpha() else (w, b"")
-                if not (stem.isalpha() and _latin(stem)):
-                    other.append(w)
-                    continue
-                stem = stem.lower()
-                known = young.get(stem) or old.get(stem)
-                if known is None:
-                    # A word of small letters is one pretoken already: straight to the model.
-                    letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                    known = young[stem] = array("I", [t.id for t in model(letters)]).tobytes()
-                if end:
-                    known += end
-            young[w] = known
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            young.update(zip(part, self._encode(part), strict=True))
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit numbers. New words of all texts are learnt at once."""
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]  # blank to Python, not to the tokenizer
-        words = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        if len(self.young) > _CACHE:
-            self.old, self.young = self.young, {}
-        if missing := set().union(*words).difference(self.young):
-            self._learn(missing)
-        get = self.young.__getitem__
-        return [self._encode([t])[0] if o else b"".join(map(get, w)) for t, w, o in zip(texts, words, odd, strict=True)]
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.young = _Words(self.tokenizer, {})
+
+    def _one(self, text: str) -> bytes:
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blank to Python, not to the tokenizer
+            return self.young.encode(text)
+        ids = b"".join(map(self.young.__getitem__, text.split()))
+        if len(self.young) > self.limit:
+            self.young.old = {}
+            self.young = _Words(self.tokenizer, self.young)
+        return ids
 
     def ids(self, text: str) -> bytes:
-        return self.many([text])[0]
+        """A text's ids as little-endian 32-bit numbers. About _BLOCK characters are in hand at once, whatever its length."""
+        return self._one(text) if len(text) <= _BLOCK else b"".join(map(self._one, _parts(text)))
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in blocks that part no token. A run of letters alone, however long, is one token's matter and stays whole."""
+    at = 0
+    while len(text) - at > _BLOCK and (m := _CUT.search(text, at + _BLOCK)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def encoder(path: str) -> WordCache:
@@ -103,6 +137,14 @@ def encoder(path: str) -> WordCache:
     return _encoders[path]
 
 
+def release(path: str) -> None:
+    """Let go of a tokenizer and its words, and give the memory back: a worker outlives its task, and may idle beside another stage's."""
+    _encoders.pop(path, None)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone keeps freed memory and has this
+    if trim:
+        trim(0)
+
+
 def document_ids(text: str | None, path: str, end_id: int = END_ID) -> np.ndarray:
     """Ids of a text and the end id."""
     return np.frombuffer(encoder(path).ids(text or "") + end_id.to_bytes(4, "little"), "<u4")
@@ -118,9 +160,8 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         for batch in batches:
             keys, piece, start, length, crc = [], [], [], [], []
             all_keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            found = (x for at in range(0, len(texts), 64) for x in cache.many([t or "" for t in texts[at : at + 64].to_pylist()]))
-            for k, ids in zip(all_keys, found, strict=True):
-                ids += end
+            for k, cell in zip(all_keys, texts, strict=True):
+                ids = cache.ids(cell.as_py() or "") + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     keys.append(k)
@@ -130,8 +171,10 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                     crc.append(zlib.crc32(part))
             cols = [pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols, names=[key, "piece", "start", "length", "ids_crc32"])
+        del cache
+        release(path)
 
-    return source.mapInArrow(run, f"{key} long, piece int, start long, length long, ids_crc32 long")
+    return map_in_arrow(source, run, f"{key} long, piece int, start long, length long, ids_crc32 long")
 
 
 def _fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -218,7 +261,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
             yield pa.RecordBatch.from_arrays([*cols, pa.array(first_[i] + copy), pa.array(at_[i] + place * length)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "__rank") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    return map_in_arrow(ranked, run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -241,4 +284,4 @@ def fill_sequences(docs: DataFrame, packed: DataFrame, path: str, key: str = "do
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["sequence_id", "offset", "ids"])
 
-    return own.select("text", "parts").mapInArrow(run, "sequence_id long, offset long, ids array<int>")
+    return map_in_arrow(own.select("text", "parts"), run, "sequence_id long, offset long, ids array<int>")

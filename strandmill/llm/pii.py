@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -247,7 +249,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=names)
 
     schema = f"{key} long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_disguised long"
-    return _texts(docs, key, text).mapInArrow(run, schema)
+    return map_in_arrow(_texts(docs, key, text), run, schema)
 
 
 def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,4 +270,4 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             names = [key, "kind", "start", "end", "value", "disguised"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return _texts(docs, key, text).mapInArrow(run, f"{key} long, kind string, start long, end long, value string, disguised boolean")
+    return map_in_arrow(_texts(docs, key, text), run, f"{key} long, kind string, start long, end long, value string, disguised boolean")

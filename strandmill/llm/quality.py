@@ -9,6 +9,7 @@ statistics, which decides.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import bound_batches, checkpoint, map_in_arrow
 
 LABELLERS = ("decoration", "shouting", "bars", "stutter", "exclamation", "loops", "letters")
 #: Hash buckets of the scorer.
@@ -127,7 +128,7 @@ def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 300, decay: float = 1
     if min(good, bad) < 1:
         return w, 4.0 if good >= bad else -4.0
     weight = p / good / 2 + (1 - p) / bad / 2
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     vw, vb, rate = np.zeros_like(w), 0.0, 1.0
     for _ in range(rounds):
         z = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30)))
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(statistics(c.as_py() or "")) for c in batch.column(1)], pa.string())], names=[key, "pattern"])
 
-    voted = checkpoint(_narrow(docs, key, text).mapInArrow(vote, f"{key} long, pattern string"))
+    voted = checkpoint(map_in_arrow(_narrow(docs, key, text), vote, f"{key} long, pattern string"))
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = fit_labels(counts)
     posterior = {p: labels.posterior_bad(p) for p in counts}
@@ -185,13 +186,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
             for cell in batch.column(1):
                 t = cell.as_py() or ""
                 s = statistics(t)
-                rows.append((votes(s), features(t, s).tobytes()))
+                rows.append((votes(s), zlib.compress(features(t, s).tobytes(), 1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=[key, "pattern", "x"])
 
-    rows = _narrow(docs, key, text).join(wanted, key, "left_semi").mapInArrow(featured, f"{key} long, pattern string, x binary")
+    rows = map_in_arrow(_narrow(docs, key, text).join(wanted, key, "left_semi"), featured, f"{key} long, pattern string, x binary")
     # Sorted, and one row of a key, so that the fit is the same whatever the partitions and however many rows have it.
     got = sorted(rows.groupBy(key).agg(F.min(F.struct("pattern", "x")).alias("r")).select(key, "r.pattern", "r.x").collect())
-    x = np.array([np.frombuffer(r[2], np.float32) for r in got])
+    x = np.empty((len(got), BUCKETS), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(zlib.decompress(r[2]), np.float32)
     p = np.array([1 - posterior[r[1]] for r in got])
     return QualityModel(labels, *fit_scorer(x, p))
 
@@ -210,7 +213,7 @@ def judge(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str =
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[key, "votes", "posterior_bad", "score", "keep"])
 
-    return _narrow(docs, key, text).mapInArrow(run, f"{key} long, votes string, posterior_bad double, score double, keep boolean")
+    return map_in_arrow(_narrow(docs, key, text), run, f"{key} long, votes string, posterior_bad double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
@@ -224,4 +227,5 @@ def keep_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataF
     def good(texts):
         return texts.map(lambda t: model.score(t or "", statistics(t or "")) >= 0.5)
 
+    bound_batches(docs.sparkSession)
     return docs.where(good(F.col(text).cast("string")))

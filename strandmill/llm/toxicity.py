@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_in_arrow
+
 #: Hash buckets of the terms.
 BUCKETS = 1 << 18
 #: Labelled documents that the machine is fitted on, toxic ones at most half of them.
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(wanted, "k").select("k", "y", "text")
     # One row of an id, the same whatever the partitions, however many rows have it.
-    one = source.mapInArrow(run, "k long, y int, x binary").groupBy("k", "y").agg(F.min("x").alias("x"))
+    one = map_in_arrow(source, run, "k long, y int, x binary").groupBy("k", "y").agg(F.min("x").alias("x"))
     got = sorted(one.collect())
     return fit_machine([np.frombuffer(r[2], np.int32) for r in got], np.array([float(r[1]) for r in got]))
 
@@ -181,4 +183,4 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
             s = pa.array(out, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s, pa.array([int(x >= 0.5) for x in out], pa.int32())], names=[key, "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"{key} long, held_out boolean, score double, predicted int")
+    return map_in_arrow(source, run, f"{key} long, held_out boolean, score double, predicted int")

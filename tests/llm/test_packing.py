@@ -25,13 +25,31 @@ def test_ids_are_the_tokenizers(text):
     assert packing.document_ids(text, PATH).tolist() == reference(text)
 
 
-def test_small_cache_gives_the_same_ids(monkeypatch):
+def test_small_cache_gives_the_same_ids():
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choice("abcéü.,'") for _ in range(rng.randrange(1, 7))) for _ in range(60)) for _ in range(30)]
-    monkeypatch.setattr(packing, "_CACHE", 5)
+    cache = packing.WordCache(PATH, 5)
+    for t in texts:
+        assert np.frombuffer(cache.ids(t), "<u4").tolist() == reference(t)[:-1]
+
+
+def test_words_with_signs_give_the_tokenizers_ids():
+    rng = random.Random(11)
+    cache = packing.WordCache(PATH, 200)
+    for _ in range(400):
+        t = " ".join("".join(rng.choice(["ab", "É", "x", "'", "s", "...", "&", "%", "!", "-", "_", "3", "é", "ü", "<|", "|>", "’", ","]) for _ in range(rng.randrange(1, 6))) for _ in range(20))
+        assert np.frombuffer(cache.ids(t), "<u4").tolist() == reference(t)[:-1]
+
+
+def test_long_texts_are_cut_between_tokens(monkeypatch):
+    """Blocks of 50 characters: at blanks, and in runs without any."""
+    monkeypatch.setattr(packing, "_BLOCK", 50)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(signs) for _ in range(600)) for signs in ("abc d", "aB9-_/=", "a1b'sé.,", "0123456789ab", "abcdefgh", "é ñ😀x.'t") for _ in range(20)]
     cache = packing.WordCache(PATH)
     for t in texts:
         assert np.frombuffer(cache.ids(t), "<u4").tolist() == reference(t)[:-1]
+    assert max(map(len, cache.young)) <= packing._KEPT
 
 
 def test_fullest_by_exhaustion():
