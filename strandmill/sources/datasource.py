@@ -315,4 +315,12 @@ def write_routed(routed: DataFrame, config=None, partitions: int | None = None)
     register(routed.sparkSession)
     n = partitions or int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = routed.select("output", "read_index", F.col("ord").cast("int").alias("ord"), "name", "seq", "qual").repartitionByRange(n, "read_index", "ord").sortWithinPartitions("output", "read_index", "ord")
-    ranged.write.format(FORMAT).mode("append").option("run", f"strandmill-{uuid.uuid4().hex}").option("gzip_level", config.gzip_level).option("zstd_level", config.zstd_level).option("container_level", config.container_level).option("blocksize", config.blocksize).save()
+    run = f"strandmill-{uuid.uuid4().hex}"
+    try:
+        ranged.write.format(FORMAT).mode("append").option("run", run).option("gzip_level", config.gzip_level).option("zstd_level", config.zstd_level).option("container_level", config.container_level).option("blocksize", config.blocksize).save()
+    except Exception:
+        # Tasks that were stopped leave their parts.
+        with contextlib.suppress(Exception):
+            for (folder,) in routed.select(F.regexp_replace("output", "[^/]*$", "")).distinct().collect():
+                shutil.rmtree(os.path.join(folder, f".{run}"), ignore_errors=True)
+        raise
