@@ -59,8 +59,12 @@ def per_base_quality(seqs: DataFrame, offset: int = 33) -> DataFrame:
 
 def per_base_content(seqs: DataFrame) -> DataFrame:
     b = seqs.select(F.posexplode(F.split("seq", "")).alias("p", "base")).groupBy((F.col("p") + 1).alias("position"), "base").agg(F.count(F.lit(1)).alias("count"))
-    # A position has at most as many rows as there are characters.
-    return b.withColumn("fraction", F.col("count") / F.sum("count").over(Window.partitionBy("position")))
+    return with_fraction(b)
+
+
+def with_fraction(counts: DataFrame) -> DataFrame:
+    """Add each base's share of its position, which has at most as many rows as there are characters."""
+    return counts.withColumn("fraction", F.col("count") / F.sum("count").over(Window.partitionBy("position")))
 
 
 def length_distribution(seqs: DataFrame) -> DataFrame:
@@ -82,7 +86,10 @@ def insert_sizes(df: DataFrame, min_overlap: int = 12, max_mismatch_rate: float
 
 
 def summary(df: DataFrame, phred33: bool = True, min_overlap: int = 12, max_mismatch_rate: float = 0.10, limit: int = 0) -> dict[str, DataFrame]:
-    """Lazy tables by name, ``_R1`` and ``_R2`` for the mates; ``insert_size`` for pairs only. ``limit`` 0 means all."""
+    """Lazy tables by name, ``_R1`` and ``_R2`` for the mates; ``insert_size`` for pairs only. ``limit`` 0 means all.
+
+    Each scans the reads for itself: for one or two of them. ``profile.summary`` makes all in one scan.
+    """
     own = mates(df)
     if len(own) not in (1, 2):
         raise ValueError("summary takes one or two inputs")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..operators import aggregates, kernels, records
+from ..operators import aggregates, kernels, profile, records
 from ..sources import container, datasource, fifo, generate, memory, text
 
 
@@ -125,8 +125,8 @@ def count_barcodes(spark: SparkSession, input, barcodes: list[str], max_distance
 
 
 def summary(spark: SparkSession, input, phred33: bool = True, min_overlap: int = 12, max_mismatch_rate: float = 0.10, limit: int = 0, nthreads: int = 1) -> dict[str, DataFrame]:
-    """Lazy tables; ``insert_size`` is there only if some pair overlaps."""
-    out = aggregates.summary(read(spark, input), phred33, min_overlap, max_mismatch_rate, limit)
+    """Tables from one scan of the inputs; ``insert_size`` is there only if some pair overlaps."""
+    out = profile.summary(read(spark, input), phred33, min_overlap, max_mismatch_rate, limit)
     if "insert_size" in out and out["insert_size"].isEmpty():
         del out["insert_size"]
     return out

@@ -1,6 +1,7 @@
 """Spark data source for reads: plain, gzip and zstd FASTQ, and the container.
 
-Reading yields ``read_index, name, seq, qual``. Filters on ``read_index`` are
+Reading yields ``read_index, name, seq, qual``; of several mates, these by
+mate, read in step. Filters on ``read_index`` are
 pushed to the source: container blocks outside the wanted range are skipped and
 text is left where the range ends. Large plain files are split by a distributed
 newline count, so that every split knows its first record and its index.
@@ -9,6 +10,7 @@ newline count, so that every split knows its first record and its index.
 from __future__ import annotations
 
 import contextlib
+import itertools
 import json
 import os
 import shutil
@@ -124,6 +126,82 @@ class ReadsReader(DataSourceReader):
                 yield self._batch(first, dict(zip(_COLUMNS, map(list, zip(*rows, strict=True)), strict=True)), len(rows))
 
 
+@dataclass
+class Span(InputPartition):
+    """Records from ``first`` to before ``last``, and where to find them in each mate: a part that starts at or before the first."""
+
+    first: int
+    last: int | None
+    mates: tuple[Part, ...] = ()
+
+
+class MatesReader(ReadsReader):
+    """The records of several files by position, each span of them read from all files in step, without a join.
+
+    Spans start where parts of the file with the fewest parts do; a file that can only be read from its
+    start (gzip, zstd, a small plain one) makes one span. What longer files have more is dropped.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options | {"path": ""})
+        self.mates = json.loads(options["mates"])
+
+    def partitions(self) -> list[Span]:
+        parts = []
+        for m in self.mates:
+            own = ReadsReader({"path": m["path"], "splits": json.dumps(m["splits"])})
+            parts.append([p for p in own.partitions() if p.blocks or text.kind(p.path) != "container"])
+        if not all(parts):
+            return [Span(0, 0)]
+        cuts = [p.first for p in min(parts, key=len)]
+        spans = []
+        for first, last in zip(cuts, [*cuts[1:], None], strict=True):
+            if (last is None or last > self.low) and (self.high is None or first < self.high):
+                spans.append(Span(first, last, tuple(self._from(own, first, last) for own in parts)))
+        return spans or [Span(0, 0)]
+
+    @staticmethod
+    def _from(parts: list[Part], first: int, last: int | None) -> Part:
+        """The last part that starts at or before ``first``; a container's with the blocks of the parts after it too."""
+        i = max(i for i, p in enumerate(parts) if p.first <= first)
+        blocks, at = [], parts[i].first
+        for b in (b for p in parts[i:] for b in p.blocks):
+            if last is not None and at >= last:
+                break
+            blocks.append(b)
+            at += b.num_reads
+        return Part(parts[i].path, parts[i].first, parts[i].start, None, tuple(blocks))
+
+    def _rows(self, part: Part, first: int) -> Iterator[tuple[str | None, str | None, str | None]]:
+        """Records of a file from ``first`` on."""
+        at = part.first
+        if text.kind(part.path) == "container":
+            with open(part.path, "rb") as f:
+                for b in part.blocks:
+                    if at + b.num_reads > first:
+                        found = container.decode_block(f, b, self.columns)
+                        cols = [found.get(c) or itertools.repeat(None, b.num_reads) for c in _COLUMNS]
+                        yield from itertools.islice(zip(*cols, strict=False), max(first - at, 0), None)
+                    at += b.num_reads
+            return
+        with text.open_text(part.path) as f:
+            if part.start:
+                f.seek(part.start)
+            yield from itertools.islice(text.parse(f, part.path), first - at, None)
+
+    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
+        if not span.mates:
+            return
+        last = min((x for x in (span.last, self.high) if x is not None), default=None)
+        names = ["read_index", *(f"{c}_{i}" for i in range(len(span.mates)) for c in _COLUMNS)]
+        rows = zip(*(self._rows(p, span.first) for p in span.mates), strict=False)
+        at = span.first
+        while some := list(itertools.islice(rows, _BATCH if last is None else min(_BATCH, max(last - at, 0)))):
+            cols = [pa.array(x, pa.string()) for mate in zip(*some, strict=True) for x in zip(*mate, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(some)), pa.int64()), *cols], names=names)
+            at += len(some)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     #: (output, first read index, first ord, part file)
@@ -219,10 +297,12 @@ class ReadsSource(DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return SCHEMA
+        if "mates" not in self.options:
+            return SCHEMA
+        return ", ".join(["read_index long", *(f"{c}_{i} string" for i in range(len(json.loads(self.options["mates"]))) for c in _COLUMNS)])
 
     def reader(self, schema: StructType) -> ReadsReader:
-        return ReadsReader(dict(self.options))
+        return (MatesReader if "mates" in self.options else ReadsReader)(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> ReadsWriter:
         return ReadsWriter(dict(self.options))
@@ -280,21 +360,32 @@ def plain_splits(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
     return found
 
 
+def _splits(spark: SparkSession, path: str, split_bytes: int) -> list[dict]:
+    return plain_splits(spark, path, split_bytes) if text.kind(path) == "plain" and os.path.exists(path) and os.path.getsize(path) > split_bytes else []
+
+
 def read_mate(spark: SparkSession, path: str, columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``read_index, name, seq, qual`` of one file; columns left out are null and, in a container, not inflated."""
     register(spark)
     path = text.normalised(path)
-    reader = spark.read.format(FORMAT).option("path", path).option("columns", ",".join(columns))
-    if text.kind(path) == "plain" and os.path.exists(path) and os.path.getsize(path) > split_bytes:
-        reader = reader.option("splits", json.dumps(plain_splits(spark, path, split_bytes)))
-    return reader.load()
+    return spark.read.format(FORMAT).option("path", path).option("columns", ",".join(columns)).option("splits", json.dumps(_splits(spark, path, split_bytes))).load()
+
+
+def read_files(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``read_index, read1, read2, ...`` of files that are read in step, without a shuffle."""
+    register(spark)
+    own = [{"path": p, "splits": _splits(spark, p, split_bytes)} for p in map(text.normalised, paths)]
+    t = spark.read.format(FORMAT).option("mates", json.dumps(own)).option("columns", ",".join(columns)).load()
+    return t.select("read_index", *(F.struct(*(F.col(f"{c}_{i}").alias(c) for c in _COLUMNS)).alias(f"read{i + 1}") for i in range(len(own))))
 
 
 def read_reads(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of one file a mate, joined by position. Keys of the memory store and pipes are read too."""
+    """Records of one file a mate, by position. Keys of the memory store and pipes are read too; with any of these, mates are joined by their index."""
     from ..operators.records import zip_mates
     from . import fifo, memory
 
+    if len(paths) > 1 and not any(text.kind(p) in ("memory", "fifo") for p in paths):
+        return read_files(spark, paths, columns, split_bytes)
     one = []
     for p in paths:
         form = text.kind(p)

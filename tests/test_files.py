@@ -351,3 +351,25 @@ def test_nulls_count_as_empty(spark):
         got = [tuple(r) for r in pairs.select(alignment.align("q", "t", boundary=boundary).alias("a")).select("a.*").collect()]
         assert got[0] == got[4] == (0, 0, 2147483647)
         assert got[2] == ((0, 6, 3) if boundary == "global" else got[2]) and got[3] == ((0, 2, 3) if boundary == "global" else (0, 0, 2147483647))
+
+
+@pytest.mark.parametrize("forms", [(".fastq", ".fastq"), (container.SUFFIX, container.SUFFIX, ".fastq"), (".fastq.gz", container.SUFFIX), (container.SUFFIX, ".fastq.zst")])
+def test_mates_are_read_in_step(spark, tmp_path, forms):
+    """Files of different lengths, block sizes and splits give the records of a join by position, without a shuffle."""
+    paths = [str(tmp_path / f"m{i}{form}") for i, form in enumerate(forms)]
+    for i, path in enumerate(paths):
+        api.write(interop.from_table(spark, [(f"n{i}_{k}", "ACGT" * (i + 1), "I" * 4 * (i + 1)) for k in range(900 - 50 * i)]), path, RunConfig.current(blocksize=70 + 33 * i))
+    own = datasource.read_reads(spark, paths, split_bytes=3000)
+    joined = records.zip_mates(*(datasource.read_reads(spark, [p]) for p in paths))
+    for where in ("true", "read_index >= 211 and read_index < 640", "read_index in (0, 305, 849)", "read_index > 5000"):
+        assert own.where(where).orderBy("read_index").collect() == joined.where(where).orderBy("read_index").collect(), where
+    assert own.count() == 900 - 50 * (len(forms) - 1)
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mates_without_reads(spark, tmp_path):
+    for name in ("a.fastq", f"b{container.SUFFIX}"):
+        api.concat(spark, [put(tmp_path / "none.fastq", b"")], str(tmp_path / name))
+    put(tmp_path / "c.fastq", fastq(sample(3)))
+    for names in (("a.fastq", "c.fastq"), ("c.fastq", f"b{container.SUFFIX}")):
+        assert api.read(spark, [str(tmp_path / n) for n in names]).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandmill import RunConfig, options
 from strandmill.functions import alignment, vectorised
 from strandmill.functions import reads as R
-from strandmill.operators import aggregates, kernels, records
+from strandmill.operators import aggregates, kernels, profile, records
 from strandmill.sources import generate, interop, memory
 
 
@@ -153,6 +153,21 @@ def test_summary(spark):
     assert counts(aggregates.summary(frame(spark, [("A", "h")]), phred33=False)["avg_read_quality_R1"]) == {40: 1}
 
 
+def test_summary_in_one_scan(spark):
+    rng = random.Random(5)
+    read = lambda: ("".join(rng.choices("ACGTNacgß", k=(n := rng.choice((0, 1, 7, 30))))), "".join(chr(rng.randrange(33, 75)) for _ in range(n + rng.choice((0, 0, 0, 1)))))
+    pairs = frame(spark, [*(read() for _ in range(200)), ("ACGTACGTACGTAC", "I" * 14), (None, None)], [*(read() for _ in range(200)), ("GTACGTACGTACGT", "I" * 14), ("AC", "II")])
+    cases = [(pairs, {}), (pairs, {"phred33": False}), (pairs.select("read_index", "read1"), {"limit": 9}), (pairs.where("read_index < 0"), {}), (frame(spark, [("", "")]), {})]
+    for df, how in cases:
+        one, each = profile.summary(df, **how), aggregates.summary(df, **how)
+        assert list(one) == list(each)
+        for name, t in each.items():
+            assert [(f.name, f.dataType) for f in one[name].schema] == [(f.name, f.dataType) for f in t.schema], name
+            assert sorted(map(repr, one[name].collect())) == sorted(map(repr, t.collect())), name
+    plan = profile.profile(pairs, min_overlap=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         R.reverse_complement(F.lit("AcgTNRU")).alias("rc"), R.phred(F.lit("I! ")).alias("q"), R.phred(F.lit("")).alias("none"), R.ends_with(F.lit("a.gz"), ".gz").alias("gz"),
