@@ -20,12 +20,12 @@ def _list(x: str | list[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of one file a mate; what longer inputs have more is dropped (``report_excess`` names them)."""
+def read(spark: SparkSession, paths: str | list[str], wanted: datasource.Wanted | None = None) -> DataFrame:
+    """Records of one file a mate, all or those ``wanted``; what longer inputs have more is dropped (``report_excess`` names them)."""
     paths = _list(paths)
     if not paths:
         raise ValueError("at least one input is required")
-    return datasource.read_reads(spark, paths)
+    return datasource.read_reads(spark, paths, wanted=wanted)
 
 
 def report_excess(spark: SparkSession, paths: str | list[str]) -> list[int]:
@@ -67,12 +67,12 @@ def write(df: DataFrame, outputs: str | list[str], config: RunConfig | None = No
     write_routed(records.route(df, [text.normalised(o) for o in _list(outputs)]), config)
 
 
-def _io(spark: SparkSession, inputs: str | list[str], outputs: str | list[str]) -> DataFrame:
+def _io(spark: SparkSession, inputs: str | list[str], outputs: str | list[str], wanted: datasource.Wanted | None = None) -> DataFrame:
     if len(_list(inputs)) != len(_list(outputs)):
         raise ValueError("input and output must have the same length")
     if len(_list(inputs)) > 1 and not any(text.kind(i) == "fifo" for i in _list(inputs)):
         report_excess(spark, inputs)
-    return read(spark, inputs)
+    return read(spark, inputs, wanted)
 
 
 def convert(spark: SparkSession, input, output, nthreads: int = 1) -> None:
@@ -84,7 +84,12 @@ def downsample(spark: SparkSession, input, output, amount: float, nthreads: int
 
 
 def slice_reads(spark: SparkSession, input, output, limit: int | None = None, select: list[int] | None = None, nthreads: int = 1) -> None:
-    write(records.slice_reads(_io(spark, input, output), limit, select), output)
+    listed = sorted({int(i) for i in select if i >= 0}) if select is not None else None
+    if listed:
+        wanted = datasource.Wanted(listed[0], listed[-1] + 1, listed if len(listed) <= records.LISTED else None)
+    else:
+        wanted = datasource.Wanted(high=int(limit)) if limit is not None and limit > 0 else None
+    write(records.slice_reads(_io(spark, input, output, wanted), limit, select), output)
 
 
 def quality_filter(spark: SparkSession, input, output, min_mean_quality: float = 20, max_low_q_bases: int = 2_147_483_647, low_q_threshold: int = 20, nthreads: int = 1) -> None:

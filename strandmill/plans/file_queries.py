@@ -75,7 +75,7 @@ def file_container_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks outside the range aren't read."""
     output = f"{_folder(spark)}/reads{container.SUFFIX}"
     api.write(singles(spark, sf_dir), output, RunConfig.current(blocksize=500))
-    return _flat(api.read(spark, output)).where("read_index BETWEEN 700 AND 2099")
+    return _flat(api.read(spark, output, datasource.Wanted(700, 2100)))
 
 
 @_query("SELECT * FROM r1 UNION ALL SELECT read_index + (SELECT count(*) FROM r1), name, seq, qual FROM r2 UNION ALL SELECT read_index + 2 * (SELECT count(*) FROM r1), name, seq, qual FROM r1")

@@ -1,9 +1,11 @@
 """Spark data source for reads: plain, gzip and zstd FASTQ, and the container.
 
 Reading yields ``read_index, name, seq, qual``; of several mates, these by
-mate, read in step. Filters on ``read_index`` are
-pushed to the source: container blocks outside the wanted range are skipped and
-text is left where the range ends. Large plain files are split by a distributed
+mate, read in step. A range of ``read_index`` is an option of the source: container
+blocks outside it are skipped and text is left where it ends. It isn't taken from
+Spark's filters: Spark keeps what was pushed to a Python source with the frame, so
+that another query on the same frame, or its other branch, would lose rows.
+Large plain files are split by a distributed
 newline count, so that every split knows its first record and its index.
 """
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from . import container, text
@@ -49,31 +51,8 @@ class ReadsReader(DataSourceReader):
         self.path = options["path"]
         self.columns = tuple(c for c in options.get("columns", ",".join(_COLUMNS)).split(",") if c in _COLUMNS)
         self.splits = json.loads(options.get("splits", "[]"))
-        self.low, self.high = 0, None
-        self.wanted: set[int] | None = None
-
-    def _upto(self, n: int) -> None:
-        self.high = n if self.high is None else min(self.high, n)
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("read_index",):
-                if isinstance(f, LessThan):
-                    self._upto(int(f.value))
-                elif isinstance(f, LessThanOrEqual):
-                    self._upto(int(f.value) + 1)
-                elif isinstance(f, GreaterThan):
-                    self.low = max(self.low, int(f.value) + 1)
-                elif isinstance(f, GreaterThanOrEqual):
-                    self.low = max(self.low, int(f.value))
-                elif isinstance(f, EqualTo):
-                    self.low, _ = max(self.low, int(f.value)), self._upto(int(f.value) + 1)
-                elif isinstance(f, In) and f.value:
-                    values = {int(v) for v in f.value if v is not None}
-                    self.wanted = values
-                    self.low = max(self.low, min(values, default=0))
-                    self._upto(max(values, default=-1) + 1)
-            yield f  # rows are filtered again above
+        self.low, self.high = int(options.get("low", 0)), int(options["high"]) if "high" in options else None
+        self.wanted = set(json.loads(options["wanted"])) if "wanted" in options else None
 
     def _needed(self, first: int, n: int) -> bool:
         return first + n > self.low and (self.high is None or first < self.high) and (self.wanted is None or len(self.wanted) > 4096 or any(first <= w < first + n for w in self.wanted))
@@ -310,7 +289,23 @@ class ReadsSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ReadsSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+@dataclass
+class Wanted:
+    """Indices from ``low`` to before ``high``; of a list, those blocks alone that hold one of it."""
+
+    low: int = 0
+    high: int | None = None
+    listed: list[int] | None = None
+
+    def options(self) -> dict[str, str]:
+        own = {"low": str(self.low)}
+        return own | ({} if self.high is None else {"high": str(self.high)}) | ({} if self.listed is None else {"wanted": json.dumps(self.listed)})
+
+    def of(self, df: DataFrame) -> DataFrame:
+        df = df.where(F.col("read_index") >= self.low) if self.low else df
+        return df if self.high is None else df.where(F.col("read_index") < self.high)
 
 
 def plain_splits(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> list[dict]:
@@ -364,28 +359,30 @@ def _splits(spark: SparkSession, path: str, split_bytes: int) -> list[dict]:
     return plain_splits(spark, path, split_bytes) if text.kind(path) == "plain" and os.path.exists(path) and os.path.getsize(path) > split_bytes else []
 
 
-def read_mate(spark: SparkSession, path: str, columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_mate(spark: SparkSession, path: str, columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES, wanted: Wanted | None = None) -> DataFrame:
     """``read_index, name, seq, qual`` of one file; columns left out are null and, in a container, not inflated."""
     register(spark)
-    path = text.normalised(path)
-    return spark.read.format(FORMAT).option("path", path).option("columns", ",".join(columns)).option("splits", json.dumps(_splits(spark, path, split_bytes))).load()
+    path, wanted = text.normalised(path), wanted or Wanted()
+    reader = spark.read.format(FORMAT).option("path", path).option("columns", ",".join(columns)).option("splits", json.dumps(_splits(spark, path, split_bytes)))
+    return wanted.of(reader.options(**wanted.options()).load())
 
 
-def read_files(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES, wanted: Wanted | None = None) -> DataFrame:
     """``read_index, read1, read2, ...`` of files that are read in step, without a shuffle."""
     register(spark)
+    wanted = wanted or Wanted()
     own = [{"path": p, "splits": _splits(spark, p, split_bytes)} for p in map(text.normalised, paths)]
-    t = spark.read.format(FORMAT).option("mates", json.dumps(own)).option("columns", ",".join(columns)).load()
+    t = wanted.of(spark.read.format(FORMAT).option("mates", json.dumps(own)).option("columns", ",".join(columns)).options(**wanted.options()).load())
     return t.select("read_index", *(F.struct(*(F.col(f"{c}_{i}").alias(c) for c in _COLUMNS)).alias(f"read{i + 1}") for i in range(len(own))))
 
 
-def read_reads(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_reads(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES, wanted: Wanted | None = None) -> DataFrame:
     """Records of one file a mate, by position. Keys of the memory store and pipes are read too; with any of these, mates are joined by their index."""
     from ..operators.records import zip_mates
     from . import fifo, memory
 
     if len(paths) > 1 and not any(text.kind(p) in ("memory", "fifo") for p in paths):
-        return read_files(spark, paths, columns, split_bytes)
+        return read_files(spark, paths, columns, split_bytes, wanted)
     one = []
     for p in paths:
         form = text.kind(p)
@@ -394,8 +391,8 @@ def read_reads(spark: SparkSession, paths: list[str], columns: tuple[str, ...] =
         elif form == "fifo":
             one.append(fifo.read(spark, text.normalised(p)))
         else:
-            one.append(read_mate(spark, p, columns, split_bytes).select("read_index", F.struct(*_COLUMNS).alias("read1")))
-    return one[0] if len(one) == 1 else zip_mates(*one)
+            one.append(read_mate(spark, p, columns, split_bytes, wanted).select("read_index", F.struct(*_COLUMNS).alias("read1")))
+    return (wanted or Wanted()).of(one[0] if len(one) == 1 else zip_mates(*one))
 
 
 def write_routed(routed: DataFrame, config=None, partitions: int | None = None) -> None:

@@ -74,12 +74,9 @@ def test_small_blocks(spark, tmp_path):
 def test_blocks_outside_a_filter_are_not_read(tmp_path):
     raw = container.HEADER + b"".join(container.encode_blocks(iter(sample(20)), 4, 3))
     path = put(tmp_path / f"x{C}", raw)
-    reader = datasource.ReadsReader({"path": path})
-    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
-
-    list(reader.pushFilters([GreaterThanOrEqual(("read_index",), 8), LessThan(("read_index",), 12)]))
-    parts = reader.partitions()
-    assert [(p.first, len(p.blocks)) for p in parts] == [(8, 1)]
+    blocks = lambda **wanted: [(p.first, len(p.blocks)) for p in datasource.ReadsReader({"path": path} | datasource.Wanted(**wanted).options()).partitions()]
+    assert blocks(low=8, high=12) == [(8, 1)]
+    assert blocks(low=1, high=18, listed=[1, 17]) == [(0, 1), (16, 1)]
 
 
 @pytest.mark.parametrize("split", [64, 100, 333, 1000])
@@ -361,8 +358,9 @@ def test_mates_are_read_in_step(spark, tmp_path, forms):
         api.write(interop.from_table(spark, [(f"n{i}_{k}", "ACGT" * (i + 1), "I" * 4 * (i + 1)) for k in range(900 - 50 * i)]), path, RunConfig.current(blocksize=70 + 33 * i))
     own = datasource.read_reads(spark, paths, split_bytes=3000)
     joined = records.zip_mates(*(datasource.read_reads(spark, [p]) for p in paths))
-    for where in ("true", "read_index >= 211 and read_index < 640", "read_index in (0, 305, 849)", "read_index > 5000"):
-        assert own.where(where).orderBy("read_index").collect() == joined.where(where).orderBy("read_index").collect(), where
+    for low, high in ((0, None), (211, 640), (849, 850), (5000, None)):
+        some = datasource.read_reads(spark, paths, split_bytes=3000, wanted=datasource.Wanted(low, high))
+        assert some.orderBy("read_index").collect() == joined.where((F.col("read_index") >= low) & (F.col("read_index") < (high or 9999))).orderBy("read_index").collect()
     assert own.count() == 900 - 50 * (len(forms) - 1)
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
 
@@ -373,3 +371,14 @@ def test_mates_without_reads(spark, tmp_path):
     put(tmp_path / "c.fastq", fastq(sample(3)))
     for names in (("a.fastq", "c.fastq"), ("c.fastq", f"b{container.SUFFIX}")):
         assert api.read(spark, [str(tmp_path / n) for n in names]).count() == 0
+
+
+@pytest.mark.parametrize("form", [".fastq", container.SUFFIX])
+def test_filters_on_one_frame_do_not_meet(spark, tmp_path, form):
+    api.write(interop.from_table(spark, [(f"n{k}", "ACGT", "IIII") for k in range(1000)]), path := str(tmp_path / f"m{form}"), RunConfig.current(blocksize=100))
+    df = api.read(spark, path)
+    assert df.where("read_index >= 900").count() == 100
+    assert df.count() == 1000
+    assert df.where("read_index < 100").union(df.where("read_index >= 950")).count() == 150
+    api.slice_reads(spark, path, some := str(tmp_path / "some.fastq"), select=[999, 3, 500, 70_000])
+    assert [r["read1"]["name"] for r in api.read(spark, some).orderBy("read_index").collect()] == ["n3", "n500", "n999"]
