@@ -5,12 +5,15 @@
 2. A class keeps the K least hashes of its set (all, if it has no more). Two sets
    of similarity ``s`` share a binomial number of the K least hashes of their
    union; fewer than TAU shared has a probability under 1e-6 at the threshold
-   itself and far less above it. That is said of sets of more than K shingles;
-   smaller ones ask for no more than any similar set's sketch is sure to share
-   with them (``_guaranteed``), so that of their links none is lost.
-3. Sharing TAU of at most K values, two classes share one of each one's
-   ``K - TAU + 1`` rarest. So only those go to the inverted lists, and a very
-   common shingle makes no list unless nearly all of a text is common.
+   itself and far less above it.
+3. Inverted lists hold the classes that share several values at once, as single
+   word pairs of unrelated texts meet ever more often in a larger corpus. A set of
+   more than K shingles goes to the lists of its bands, groups of its least values
+   under hash functions of their own: sets at the threshold have no band in common
+   with a probability under MISS (``_bands``). A set that is whole in its sketch,
+   or may be similar to one, shares at least ``_guaranteed`` or ``_needed`` values
+   with the other's sketch, and so two of each one's rarest ones: it goes to the
+   lists of all pairs of those, and none of its links to a whole set is lost.
 4. Each list is a star around its most central member, the one whose values are
    most frequent: a group of n copies costs n pairs, not n squared. The sketch
    of the union estimates each pair, and the full sets confirm it. Links form
@@ -35,10 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, checkpoint, fresh, map_in_arrow
-from .shingles import shingle_set
+from .shingles import band_keys, shingle_set
 
 K = 48
 TAU = 24
+#: Probability that two sets of more than K shingles, similar at the threshold itself, share no band.
+MISS = 1e-7
 #: Lists of up to so many classes may pair their members directly.
 SHORT = 16
 #: Members of a block, on average, where long lists are compared in blocks; and so many thousands of shingles.
@@ -51,24 +56,33 @@ def _digest_of(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``key, n, digest, sketch`` for each row; digest and sketch are null without words."""
+def _bands(percent: int) -> tuple[int, int]:
+    """How many bands of how many values: a band of similar sets is the same with a probability of about a third."""
+    if percent >= 100:
+        return 1, 1
+    values = max(1, round(math.log(1 / 3) / math.log(percent / 100)))
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** values))), values
+
+
+def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """``key, n, digest, sketch, bands`` for each row; digest and sketch are null without words, bands up to K shingles."""
+    bands, values = _bands(percent)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, sketch = [], [], []
+            n, digest, sketch, banded = [], [], [], []
             for cell in batch.column(1):
                 s = shingle_set(cell.as_py(), words)
                 n.append(len(s))
                 digest.append(_digest_of(s))
                 # Shifted so that signed order is the hashes' order.
                 sketch.append((s[:K] ^ np.uint64(1 << 63)).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["key", "n", "digest", "sketch"]
-            )
+                banded.append(band_keys(s, bands, values).view(np.int64) if len(s) > K else None)
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (sketch, banded)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *lists], names=["key", "n", "digest", "sketch", "bands"])
 
-    return map_in_arrow(source, run, "key long, n long, digest binary, sketch array<long>")
+    return map_in_arrow(source, run, "key long, n long, digest binary, sketch array<long>, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -123,6 +137,33 @@ def _guaranteed(n: Column, percent: int) -> Column:
     return F.least(F.ceil(n * percent / 100), F.greatest(common - F.greatest(most - K, F.lit(0)), F.lit(1)))
 
 
+def _needed(n: Column, percent: int) -> Column:
+    """As ``_guaranteed``, for a set of ``n`` over K shingles and any similar set that is whole: the smallest one shares least."""
+    least = F.ceil(n * percent / 100)
+    return F.greatest(F.ceil((n + least) * percent / (100 + percent)) - (n - K), F.lit(1))
+
+
+def _listed(classes: DataFrame, percent: int) -> DataFrame:
+    """``value, node, n, leader, size``: the members of each inverted list of two classes or more."""
+    small = classes.where(100 * K >= percent * F.col("n"))
+    values = small.select("node", "n", F.explode("sketch").alias("value"))
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    # Values that no other class has come first in the order of rarity; of those that others have, so many more belong to the
+    # prefix that it holds the first two of all values in common; up to 50 per cent, sets may have but one in common.
+    first = 2 if percent > 50 else 1
+    need = F.when(F.col("n") <= K, _guaranteed(F.col("n"), percent)).otherwise(_needed(F.col("n"), percent))
+    shared = values.join(counts, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("found"))
+    rarest = shared.withColumn("more", (F.size("found") - need + first).cast("int")).where(f"more >= {first}").select("node", "n", F.slice("found.value", F.lit(1), F.col("more")).alias("p"))
+    lists = F.expr("p" if first == 1 else "flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> xxhash64(x, y))))")
+    keys = classes.select("node", "n", F.explode("bands").alias("value")).unionByName(rarest.select("node", "n", F.explode(lists).alias("value")))
+
+    sizes = keys.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    entries = checkpoint(keys.join(sizes, "value").select("value", "node", "n", "size"))
+    central = entries.groupBy("node").agg(F.sum("size").alias("central"))
+    leaders = entries.join(central, "node").groupBy("value").agg(F.max(F.struct("central", "node"))["node"].alias("leader"))
+    return checkpoint(entries.join(leaders, "value").select("value", "node", "n", "leader", "size"))
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and whose union's sketch allow the similarity, with their sizes."""
     sa = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
@@ -160,29 +201,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def _components_of_classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``key, n, digest, sketch`` of each row, and ``digest, component_id, lead`` of each class.
+    """``key, n, digest`` and more of each row, and ``digest, component_id, lead`` of each class.
 
     ``lead`` says whether the class is the one of its component that stays: it has
     the least key, and of classes with that key the least digest.
     """
-    rows = checkpoint(_sets(docs, key, text, words))
-    grouped = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("min_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    rows = checkpoint(_sets(docs, key, text, words, percent))
+    grouped = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("min_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     # The checkpoint fixes the numbers.
     classes = checkpoint(grouped.withColumn("node", F.monotonically_increasing_id()))
 
-    values = classes.select("node", F.size("sketch").alias("k"), F.col("n"), F.explode("sketch").alias("value"))
-    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    shared = values.join(counts, "value").groupBy("node").agg(
-        F.first("k").alias("k"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("found"), F.sum("freq").alias("central")
-    )
-    # Values that no other class has come first in the order of rarity; how many more make up the prefix.
-    need = F.when(F.col("n") <= K, _guaranteed(F.col("n"), percent)).otherwise(F.lit(TAU))
-    more = F.col("k") - need + 1 - (F.col("k") - F.size("found"))
-    entries = checkpoint(
-        shared.withColumn("more", more.cast("int")).where("more > 0").select("node", "n", "central", F.explode(F.slice("found", F.lit(1), F.col("more"))).alias("e")).select(F.col("e.value").alias("value"), "node", "n", "central")
-    )
-    lists = checkpoint(entries.groupBy("value").agg(F.max(F.struct("central", "node")).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1").select("value", F.col("top.node").alias("leader"), "size"))
-    listed = checkpoint(entries.join(lists, "value").select("value", "node", "n", "leader", "size"))
+    listed = _listed(classes, percent)
     stars = listed.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
     def sets_of(nodes: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 _C1, _C2, _K = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0xD6E8FEB86659FD93)
 
 
+#: An odd factor and a mask for each hash function of the bands; more are made as they are asked for.
+_FUNCTIONS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     out[1:] = np.uint64(base)
@@ -72,3 +76,26 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     for i in range(1, width):
         out = _mix(out * _K + words[i : len(words) - width + 1 + i])
     return np.unique(out if width == n else _mix(out + np.uint64(width)))
+
+
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n not in _FUNCTIONS:
+        rng = np.random.default_rng(20240301)
+        odd, mask = (rng.integers(0, 1 << 32, n, dtype=np.uint32)[:, None] for _ in range(2))
+        _FUNCTIONS[n] = odd | np.uint32(1), mask
+    return _FUNCTIONS[n]
+
+
+def band_keys(shingles: np.ndarray, bands: int, values: int) -> np.ndarray:
+    """A hash for each band: of the least values that ``values`` hash functions take over the set, which is not empty."""
+    odd, mask = _functions(bands * values)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(bands * values, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(high), 1024):
+        block = high[None, at : at + 1024] ^ mask
+        block *= odd
+        np.minimum(least, block.min(1), out=least)
+    out = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, values).T:
+        out = _mix(out * _K + column)
+    return out

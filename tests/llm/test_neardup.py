@@ -192,3 +192,22 @@ def test_shingles_in_blocks(monkeypatch):
     monkeypatch.setattr(shingles, "_BLOCK", 512)
     assert (shingle_set(text, 3) == whole).all()
     assert len(whole) == len(brute_set(text, 3))
+
+
+@pytest.mark.parametrize("length", [40, 300])
+def test_unrelated_texts_make_no_lists(spark, monkeypatch, length):
+    """Texts of a hundred words, whose pairs of words mostly stand in others too: no frame has more rows than the input."""
+    rng = random.Random(length)
+    vocabulary = [f"w{i}" for i in range(100)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(length)) for _ in range(500)]
+    near = [" ".join(edited(rng, t.split(" "), length // 40, vocabulary)) for t in texts[:5]]
+    rows, seen, real = list(enumerate(texts + near)), [], neardup.checkpoint
+
+    def counted(frame):
+        out = real(frame)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "checkpoint", counted)
+    assert result(spark, rows, 2) == brute(rows, 2)
+    assert max(seen) <= len(rows)
