@@ -295,21 +295,27 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def _in_groups(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of components (a, b) that links join within each leader's group.
 
-    A member of which too few shingles occur with any other member can't be
-    similar to one and drops out; so do groups of one component then. What is
-    left outside the leader's component, near copies with unusually many edits,
-    is the query set: its blocks meet the blocks of the group. A block has members
-    of one band of sizes, a bounded number of them and of shingles; only blocks of
-    the same band and of those beside it meet, as similar sets differ in size by
-    the threshold at most. No more pairs leave a task than its components need to
-    be joined.
+    A member of which too few shingles occur in any other class can't be similar
+    to one and drops out; so do groups of one component then. A class's shingles
+    are laid out once for that, however many groups it is in. Those that occur
+    elsewhere also bound the size of a similar set: a member whose group has no
+    set of such a size drops out too. What is left outside the leader's component,
+    near copies with unusually many edits, is the query set: its blocks meet the
+    blocks of the group. A block has members of one band of sizes, a bounded number
+    of them and of shingles; only blocks of the same band and of those beside it
+    meet, as similar sets differ in size by the threshold at most. No more pairs
+    leave a task than its components need to be joined.
     """
-    mine = group.join(sets, "node")
-    exploded = mine.select("leader", "node", F.explode("shingles").alias("value"))
-    shared = exploded.groupBy("leader", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("leader", "value")
-    s = exploded.join(shared, ["leader", "value"]).groupBy("leader", "node").agg(F.count(F.lit(1)).alias("s"))
+    exploded = sets.select("node", F.explode("shingles").alias("value"))
+    shared = exploded.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("value")
+    s = exploded.join(shared, "value").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+    # What two sets have in common is at most either one's s.
+    most = F.expr(f"s * {100 + percent} div {percent} - n").alias("most")
+    sized = checkpoint(sets.select("node", F.size("shingles").alias("n")).distinct().join(s, "node").select("node", "n", most))
+    members = group.join(sized, "node")
+    sizes = members.groupBy("leader").agg(F.collect_set("n").alias("sizes"))
     main = group.where("node = leader").select("leader", F.col("comp").alias("main"))
-    left = mine.select("leader", "node", "comp", F.size("shingles").alias("n")).join(s, ["leader", "node"]).where(f"100 * s >= {percent} * n").join(main, "leader")
+    left = members.join(sizes.join(main, "leader"), "leader").where(f"exists(sizes, m -> m <= most and 100 * m >= {percent} * n)")
     # A hair wider than the threshold allows, so that rounding parts no pair by two bands.
     band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9)).cast("int")
     left = checkpoint(left.select("leader", "node", "comp", "n", band.alias("band"), (F.col("comp") != F.col("main")).alias("minor")))

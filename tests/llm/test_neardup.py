@@ -211,3 +211,30 @@ def test_unrelated_texts_make_no_lists(spark, monkeypatch, length):
     monkeypatch.setattr(neardup, "checkpoint", counted)
     assert result(spark, rows, 2) == brute(rows, 2)
     assert max(seen) <= len(rows)
+
+
+def rows_made(spark, done):
+    """The most rows that a join or a laid out list has made, of the queries beyond the first ``done``; and how many queries ran."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    total, most = store.executionsCount(), 0
+    for execution in (store.executionsList(int(done), int(total - done)).apply(i) for i in range(total - done)):
+        values, nodes = store.executionMetrics(execution.executionId()), store.planGraph(execution.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and ("Join" in node.name() or "Generate" in node.name()) and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most, total
+
+
+def test_shingles_are_laid_out_once(spark):
+    """A large group of near copies whose lists have many leaders: no frame has more rows than its classes have shingles."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = list(enumerate(" ".join(edited(rng, base, rng.randrange(11), vocabulary)) for _ in range(500)))
+    done = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert result(spark, rows, 5) == brute(rows, 5)
+    most, _ = rows_made(spark, done)
+    assert 0 < most <= sum(len(s) for s in {brute_set(t, 5) for _, t in rows})
