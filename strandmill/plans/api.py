@@ -31,20 +31,27 @@ def read(spark: SparkSession, paths: str | list[str], wanted: datasource.Wanted
 def report_excess(spark: SparkSession, paths: str | list[str]) -> list[int]:
     """Inputs with more reads than the shortest; counts of a container come from its block headers' rows."""
     paths = _list(paths)
-    return [] if len(paths) < 2 else records.excess_inputs([datasource.read_reads(spark, [p], columns=()).count() for p in paths])
+    return [] if len(paths) < 2 else records.excess_inputs([_count(spark, p) for p in paths])
 
 
-def write_routed(routed: DataFrame, config: RunConfig | None = None) -> None:
-    """Write routed rows to files, pipes and memory keys by the suffix of their output."""
+def _count(spark: SparkSession, path: str) -> int:
+    return read(spark, path).count() if text.kind(path) in ("memory", "fifo") else datasource.count(spark, path)
+
+
+def write_routed(routed: DataFrame, config: RunConfig | None = None, outputs: list[str] | None = None) -> None:
+    """Write routed rows to files, pipes and memory keys by the suffix of their output; ``outputs``, if all are known, saves a scan for the suffixes."""
     is_mem, is_pipe = F.endswith("output", F.lit(".mem")), F.endswith("output", F.lit(".fifo"))
-    kinds = {r[0] for r in routed.select(F.when(is_mem, "mem").when(is_pipe, "fifo").otherwise("file")).distinct().collect()}
+    if outputs is not None:
+        kinds = {{"memory": "mem", "fifo": "fifo"}.get(text.kind(o), "file") for o in outputs if o}
+    else:
+        kinds = {r[0] for r in routed.select(F.when(is_mem, "mem").when(is_pipe, "fifo").otherwise("file")).distinct().collect()}
     if len(kinds) > 1:
         routed = routed.persist()
     try:
         if "file" in kinds:
             datasource.write_routed(routed.where(~is_mem & ~is_pipe), config)
         if "fifo" in kinds:
-            fifo.write_routed(routed.where(is_pipe))
+            fifo.write_routed(routed.where(is_pipe), outputs and [o for o in outputs if text.kind(o) == "fifo"])
         if "mem" in kinds:
             for (key,) in routed.where(is_mem).select("output").distinct().orderBy("output").collect():
                 _to_memory(key, routed.where(F.col("output") == key))
@@ -64,7 +71,8 @@ def _to_memory(key: str, rows: DataFrame) -> None:
 
 def write(df: DataFrame, outputs: str | list[str], config: RunConfig | None = None) -> None:
     """Write each mate to its output; an output without reads isn't made."""
-    write_routed(records.route(df, [text.normalised(o) for o in _list(outputs)]), config)
+    own = [text.normalised(o) for o in _list(outputs)]
+    write_routed(records.route(df, own), config, own)
 
 
 def _io(spark: SparkSession, inputs: str | list[str], outputs: str | list[str], wanted: datasource.Wanted | None = None) -> DataFrame:
@@ -143,7 +151,9 @@ def concat(spark: SparkSession, input: list[str], output: str, nthreads: int = 1
         raise ValueError("output must be a single file path or .mem key")
     if not _list(input):
         raise ValueError("concat requires at least one input file")
-    whole = records.concat([read(spark, p) for p in _list(input)])
+    frames = [read(spark, p) for p in _list(input)]
+    counts = [d.count() if text.kind(p) in ("memory", "fifo") else datasource.count(spark, p) for p, d in zip(_list(input), frames[:-1], strict=False)]
+    whole = records.concat(frames, counts)
     write(whole, output, config)
     _make_if_missing(spark, output, config or RunConfig.current())
 

@@ -6,13 +6,8 @@ executors see it and is deleted when the process ends, and reads them back.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import threading
-import uuid
-from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +16,7 @@ from ..config import RunConfig
 from ..functions import reads as R
 from ..operators import profile, records
 from ..sources import container, datasource, fifo, interop, memory
+from ..sources.spool import folder as _folder
 from . import api
 from .queries import ORACLES, QUERIES, _flat, _overlap_sql, _query, pairs, singles
 
@@ -29,19 +25,6 @@ __all__ = ["ORACLES", "QUERIES"]
 _PAIRED = "SELECT read_index, r1.name AS name1, r1.seq AS seq1, r1.qual AS qual1, r2.name AS name2, r2.seq AS seq2, r2.qual AS qual2 FROM r1 JOIN r2 USING (read_index)"
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder beneath ``spark.checkpoint.dir``; a temporary one if a local session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if named is not None and urlsplit(named).scheme not in ("", "file"):
-        raise RuntimeError("reads are written to mounted paths")
-    base = urlsplit(named).path if named else tempfile.gettempdir()
-    os.makedirs(path := os.path.join(base, f"strandmill-files-{uuid.uuid4().hex}"))
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
 def _both(df: DataFrame) -> DataFrame:
     return df.select("read_index", *(F.col(f"read{m}.{c}").alias(f"{c}{m}") for m in (1, 2) for c in ("name", "seq", "qual")))
 
@@ -123,14 +106,14 @@ def memory_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT * FROM r1")
 def pipe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out through a named pipe and in again; a pipe ends at the driver, whatever the engine."""
+    """Out through a named pipe and in again; a pipe ends at the driver, whatever the engine, which streams between it and files that executors share."""
     path = f"{_folder(spark)}/reads.fifo"
     os.mkfifo(path)
     got: list[DataFrame] = []
     reader = threading.Thread(target=lambda: got.append(fifo.read(spark, path)), daemon=True)
     reader.start()
     api.write(singles(spark, sf_dir), path)
-    reader.join(600)
+    reader.join()
     return _flat(got[0])
 
 

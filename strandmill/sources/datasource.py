@@ -6,7 +6,8 @@ blocks outside it are skipped and text is left where it ends. It isn't taken fro
 Spark's filters: Spark keeps what was pushed to a Python source with the frame, so
 that another query on the same frame, or its other branch, would lose rows.
 Large plain files are split by a distributed
-newline count, so that every split knows its first record and its index.
+newline count, so that every split knows its first record and its index; gzip and
+zstd files of this writer by what their members and frames tell.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,15 @@ from . import container, text
 FORMAT = "strandmill_reads"
 _COLUMNS = ("name", "seq", "qual")
 SCHEMA = "read_index long, name string, seq string, qual string"
-_BATCH = 8192
 _KINDS = {"read_index": pa.int64(), "name": pa.string(), "seq": pa.string(), "qual": pa.string()}
 #: Plain files above this are split.
 SPLIT_BYTES = 64 << 20
+#: Compressed bytes of members, frames or blocks that a task reads.
+PART_BYTES = 8 << 20
+
+
+def _strings(values: list[str] | pa.Array) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, pa.string())
 
 
 @dataclass
@@ -58,6 +65,8 @@ class ReadsReader(DataSourceReader):
         return first + n > self.low and (self.high is None or first < self.high) and (self.wanted is None or len(self.wanted) > 4096 or any(first <= w < first + n for w in self.wanted))
 
     def partitions(self) -> list[Part]:
+        if text.kind(self.path) in ("gzip", "zstd"):
+            return [p for p in self._members() if p.end is None or self._needed(p.first, p.end - p.first)] or [Part(self.path, end=0)]
         if text.kind(self.path) != "container":
             return [Part(self.path, s["first"], s["start"], s["end"]) for s in self.splits] or [Part(self.path)]
         with open(self.path, "rb") as f:
@@ -65,7 +74,7 @@ class ReadsReader(DataSourceReader):
         parts, first, size, group, group_first = [], 0, 0, [], 0
         for b in blocks:
             if self._needed(first, b.num_reads):
-                if group and (size > 16 << 20 or first != group_first + sum(x.num_reads for x in group)):
+                if group and (size >= PART_BYTES or first != group_first + sum(x.num_reads for x in group)):
                     parts.append(Part(self.path, group_first, blocks=tuple(group)))
                     group, size = [], 0
                 if not group:
@@ -75,8 +84,26 @@ class ReadsReader(DataSourceReader):
             first += b.num_reads
         return [*parts, *([Part(self.path, group_first, blocks=tuple(group))] if group else [])] or [Part(self.path, blocks=())]
 
-    def _batch(self, first: int, rows: dict[str, list[str]], n: int) -> pa.RecordBatch:
-        cols = [pa.array(range(first, first + n), pa.int64()), *(pa.array(rows[c], pa.string()) if c in rows else pa.nulls(n, pa.string()) for c in _COLUMNS)]
+    def _members(self) -> list[Part]:
+        """Runs of members or frames, as far as they tell where they are; else the file as a whole."""
+        own = text.members(self.path) if os.path.exists(self.path) else []
+        if not sum(reads for _, reads in own):
+            return [Part(self.path)]
+        parts, first = [], 0
+        for at, reads in own:
+            if not parts or at - parts[-1].start >= PART_BYTES:
+                parts.append(Part(self.path, first, at))
+            first += reads
+            parts[-1].end = first
+        return parts
+
+    def _texts(self, part: Part) -> Iterator[tuple[int, dict[str, pa.Array]]]:
+        """Pieces of the text from a part's start on: how many records, and their columns."""
+        with text.open_text(part.path, part.start) as f:
+            yield from text.columns(f, part.path, self.columns)
+
+    def _batch(self, first: int, rows: dict[str, list[str] | pa.Array], n: int) -> pa.RecordBatch:
+        cols = [pa.array(np.arange(first, first + n)), *(_strings(rows[c]) if c in rows else pa.nulls(n, pa.string()) for c in _COLUMNS)]
         return pa.RecordBatch.from_arrays(cols, names=list(_KINDS))
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
@@ -87,22 +114,15 @@ class ReadsReader(DataSourceReader):
                     yield self._batch(first, container.decode_block(f, b, self.columns), b.num_reads)
                     first += b.num_reads
             return
-        with text.open_text(part.path) as f:
-            if part.start:
-                f.seek(part.start)
-            first, rows = part.first, []
-            stop = None if part.end is None else part.end
-            for row in text.parse(f, part.path):
-                if self.high is not None and first + len(rows) >= self.high:
-                    break
-                rows.append(row)
-                if len(rows) == _BATCH:
-                    yield self._batch(first, dict(zip(_COLUMNS, map(list, zip(*rows, strict=True)), strict=True)), len(rows))
-                    first, rows = first + len(rows), []
-                if stop is not None and first + len(rows) >= stop:
-                    break
-            if rows:
-                yield self._batch(first, dict(zip(_COLUMNS, map(list, zip(*rows, strict=True)), strict=True)), len(rows))
+        first, last = part.first, min((x for x in (part.end, self.high) if x is not None), default=None)
+        if last is not None and first >= last:
+            return
+        for n, found in self._texts(part):
+            n = n if last is None else min(n, last - first)
+            yield self._batch(first, {c: x[:n] for c, x in found.items()}, n)
+            first += n
+            if first == last:
+                return
 
 
 @dataclass
@@ -151,34 +171,43 @@ class MatesReader(ReadsReader):
             at += b.num_reads
         return Part(parts[i].path, parts[i].first, parts[i].start, None, tuple(blocks))
 
-    def _rows(self, part: Part, first: int) -> Iterator[tuple[str | None, str | None, str | None]]:
-        """Records of a file from ``first`` on."""
+    def _pieces(self, part: Part, first: int) -> Iterator[list[pa.Array]]:
+        """Columns of a file's records from ``first`` on, piece by piece."""
         at = part.first
         if text.kind(part.path) == "container":
-            with open(part.path, "rb") as f:
-                for b in part.blocks:
-                    if at + b.num_reads > first:
-                        found = container.decode_block(f, b, self.columns)
-                        cols = [found.get(c) or itertools.repeat(None, b.num_reads) for c in _COLUMNS]
-                        yield from itertools.islice(zip(*cols, strict=False), max(first - at, 0), None)
-                    at += b.num_reads
-            return
-        with text.open_text(part.path) as f:
-            if part.start:
-                f.seek(part.start)
-            yield from itertools.islice(text.parse(f, part.path), first - at, None)
+            found = self._blocks(part, first)
+        else:
+            found = self._texts(part)
+        for n, own in found:
+            if at + n > first:
+                skip = max(first - at, 0)
+                yield [_strings(own[c])[skip:] if c in own else pa.nulls(n - skip, pa.string()) for c in _COLUMNS]
+            at += n
+
+    def _blocks(self, part: Part, first: int) -> Iterator[tuple[int, dict[str, list[str]]]]:
+        at = part.first
+        with open(part.path, "rb") as f:
+            for b in part.blocks:
+                at += b.num_reads
+                yield b.num_reads, container.decode_block(f, b, self.columns) if at > first else {}
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
         if not span.mates:
             return
         last = min((x for x in (span.last, self.high) if x is not None), default=None)
         names = ["read_index", *(f"{c}_{i}" for i in range(len(span.mates)) for c in _COLUMNS)]
-        rows = zip(*(self._rows(p, span.first) for p in span.mates), strict=False)
-        at = span.first
-        while some := list(itertools.islice(rows, _BATCH if last is None else min(_BATCH, max(last - at, 0)))):
-            cols = [pa.array(x, pa.string()) for mate in zip(*some, strict=True) for x in zip(*mate, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(some)), pa.int64()), *cols], names=names)
-            at += len(some)
+        pieces = [self._pieces(p, span.first) for p in span.mates]
+        at, now = span.first, [None] * len(pieces)
+        while last is None or at < last:
+            for i, p in enumerate(pieces):
+                now[i] = now[i] or next(p, None)
+                if not now[i]:
+                    return
+            n = min(len(x[0]) for x in now)
+            n = n if last is None else min(n, last - at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), *(c[:n] for x in now for c in x)], names=names)
+            now = [None if len(x[0]) == n else [c[n:] for c in x] for x in now]
+            at += n
 
 
 @dataclass
@@ -202,11 +231,13 @@ class ReadsWriter(DataSourceArrowWriter):
     def _folder(self, output: str) -> str:
         return os.path.join(os.path.dirname(output), f".{self.run}")
 
-    def _encoded(self, output: str, rows: Iterator[tuple[bytes, bytes, bytes]]) -> Iterator[bytes]:
+    def _encoded(self, output: str, batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         form = text.kind(output)
         if form == "container":
+            latin = lambda values: [(x or "").encode("latin-1") for x in values.to_pylist()]
+            rows = (row for b in batches for row in zip(*(latin(b.column(c)) for c in _COLUMNS), strict=True))
             return container.encode_blocks(rows, self.blocksize, self.container_level)
-        return text.compress(text.encode(rows), form, self.gzip_level, self.zstd_level)
+        return text.compress((text.encode(*(b.column(c) for c in _COLUMNS)) for b in batches), form, self.gzip_level, self.zstd_level)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         made: list[tuple[str, int, int, str]] = []
@@ -226,25 +257,26 @@ class ReadsWriter(DataSourceArrowWriter):
                 os.rmdir(self._folder(output))
 
     def _write(self, batches: Iterator[pa.RecordBatch], made: list[tuple[str, int, int, str]]) -> None:
-        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("output", "read_index", "ord", "name", "seq", "qual")), strict=True))
-        pending = next(rows, None)
-        latin = lambda r: tuple((x or "").encode("latin-1") for x in r[3:])
-        while pending is not None:
-            output, index, order = pending[:3]
+        for output, run in itertools.groupby(self._runs(batches), lambda x: x[0]):
+            _, own = next(run)
             os.makedirs(folder := self._folder(output), exist_ok=True)
             path = os.path.join(folder, uuid.uuid4().hex)
-            made.append((output, index, order, path))
-
-            def same() -> Iterator[tuple[bytes, bytes, bytes]]:
-                nonlocal pending
-                while pending is not None and pending[0] == output:  # noqa: B023
-                    yield latin(pending)
-                    pending = next(rows, None)
-
+            made.append((output, own.column("read_index")[0].as_py(), own.column("ord")[0].as_py(), path))
             with open(path, "wb") as f:
-                for chunk in self._encoded(output, same()):
+                for chunk in self._encoded(output, itertools.chain([own], (b for _, b in run))):
                     f.write(chunk)
 
+    @staticmethod
+    def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+        """Consecutive rows of one output."""
+        for b in batches:
+            outputs = b.column("output")
+            codes = outputs.dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), b.num_rows]
+            for x, y in itertools.pairwise(cuts):
+                if y > x:
+                    yield outputs[x].as_py(), b.slice(x, y - x)
+
     def commit(self, messages: list[Written | None]) -> None:
         parts = sorted(p for m in messages if m for p in m.parts)
         outputs: dict[str, list[str]] = {}
@@ -367,6 +399,16 @@ def read_mate(spark: SparkSession, path: str, columns: tuple[str, ...] = _COLUMN
     return wanted.of(reader.options(**wanted.options()).load())
 
 
+def count(spark: SparkSession, path: str) -> int:
+    """Reads of a file: what blocks, members or frames tell, else all are counted."""
+    path = text.normalised(path)
+    if text.kind(path) == "container":
+        with open(path, "rb") as f:
+            return sum(b.num_reads for b in container.index_blocks(f))
+    told = text.members(path) if text.kind(path) in ("gzip", "zstd") else []
+    return sum(n for _, n in told) if told else read_mate(spark, path, ()).count()
+
+
 def read_files(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = _COLUMNS, split_bytes: int = SPLIT_BYTES, wanted: Wanted | None = None) -> DataFrame:
     """``read_index, read1, read2, ...`` of files that are read in step, without a shuffle."""
     register(spark)
