@@ -6,6 +6,7 @@ import io
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from strandmill.plans import api
 from strandmill.sources import container, datasource, text
@@ -82,3 +83,13 @@ def test_text_of_nulls_and_of_signs_beyond_ascii():
     assert text.encode(*own) == b"@a\nAC\n+\n\n@\n\n+\nI\n@\xe9\nN\n+\n\xff\n"
     assert text.encode(*(c[1:2] for c in own)) == b"@\n\n+\nI\n"
     assert text.encode(*(c[:0] for c in own)) == b""
+
+
+def test_outputs_that_are_known_are_not_scanned_for(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.fastq").write_bytes(lines(40))
+    df = api.read(spark, str(tmp_path / "a.fastq"))
+    monkeypatch.setattr(type(df), "distinct", lambda self: pytest.fail("scanned for its outputs"))
+    api.write(df.where(F.col("read_index") < 20), str(tmp_path / "b.fastq.gz"))
+    api.concat(spark, [str(tmp_path / "b.fastq.gz"), str(tmp_path / "a.fastq")], str(tmp_path / "c.fastq.zst"))
+    with text.open_text(str(tmp_path / "c.fastq.zst")) as f:
+        assert f.read() == lines(20) + lines(40)
