@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import json
 
 import pyarrow as pa
 import pytest
@@ -93,3 +94,17 @@ def test_outputs_that_are_known_are_not_scanned_for(spark, tmp_path, monkeypatch
     api.concat(spark, [str(tmp_path / "b.fastq.gz"), str(tmp_path / "a.fastq")], str(tmp_path / "c.fastq.zst"))
     with text.open_text(str(tmp_path / "c.fastq.zst")) as f:
         assert f.read() == lines(20) + lines(40)
+
+
+def test_mates_of_members_are_read_span_by_span(tmp_path, monkeypatch):
+    a = put(tmp_path / "a.fastq.gz", [lines(30), lines(30, 30), lines(40, 60)], monkeypatch)
+    b = put(tmp_path / "b.fastq.zst", [lines(25), lines(25, 25), lines(25, 50), lines(18, 75)], monkeypatch)
+    (tmp_path / f"c{container.SUFFIX}").write_bytes(container.HEADER + b"".join(container.encode_blocks(((b"c%d" % i, b"A", b"I") for i in range(97)), 10, 3)))
+    monkeypatch.setattr(datasource, "PART_BYTES", 1)
+    mates = [{"path": p, "splits": []} for p in (a, b, str(tmp_path / f"c{container.SUFFIX}"))]
+    for low, high in ((0, None), (31, 77)):
+        reader = datasource.MatesReader({"mates": json.dumps(mates)} | datasource.Wanted(low, high).options())
+        spans = reader.partitions()
+        got = [[x for s in spans for x in names(reader.read(s), f"name_{i}") if x[0] >= low] for i in range(3)]
+        assert len(spans) > 1
+        assert got == [[(i, f"{'c' if m == 2 else 'r'}{i}") for i in range(low, high or 93)] for m in range(3)]
