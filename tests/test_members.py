@@ -108,3 +108,11 @@ def test_mates_of_members_are_read_span_by_span(tmp_path, monkeypatch):
         got = [[x for s in spans for x in names(reader.read(s), f"name_{i}") if x[0] >= low] for i in range(3)]
         assert len(spans) > 1
         assert got == [[(i, f"{'c' if m == 2 else 'r'}{i}") for i in range(low, high or 93)] for m in range(3)]
+
+
+def test_two_gzip_mates_make_many_tasks(tmp_path, monkeypatch):
+    paths = [put(tmp_path / f"{m}.fastq.gz", [lines(20, 20 * k) for k in range(5)], monkeypatch) for m in "ab"]
+    monkeypatch.setattr(datasource, "PART_BYTES", 1)
+    reader = datasource.MatesReader({"mates": json.dumps([{"path": p, "splits": []} for p in paths])})
+    assert [(s.first, s.last) for s in reader.partitions()] == [(0, 20), (20, 40), (40, 60), (60, 80), (80, None)]
+    assert [x for s in reader.partitions() for x in names(reader.read(s), "name_1")] == [(i, f"r{i}") for i in range(100)]
